@@ -152,7 +152,7 @@ def fit(docs: DataFrame, sample: int = 2400, id_col: str = "doc_id", text_col: s
         return None
     share = max(1, sample // len(counts))
     of = {r["label"]: r["count"] for r in counts}
-    pick = (F.xxhash64("id", "label").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("double") / 2.0**64
+    pick = F.xxhash64("id", "label").cast("double") / 2.0**64 + 0.5
     rate = F.create_map(*[x for label, n in of.items() for x in (F.lit(label), F.lit(1.3 * share / n + 30 / n))])[F.col("label")]
     picked = rows.where(pick < rate).orderBy(F.xxhash64("id", "label"), "id", "text").limit(2 * sample + 40 * len(of)).collect()
     taken: dict[str, int] = {}
