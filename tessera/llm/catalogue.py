@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, lines, lzprint, media, packing, pii, sharding, simhash
+from tessera.llm import bpe, langid, lines, lzprint, media, packing, pii, sharding, simhash, suffix
 from tessera.session import table
 
 
@@ -25,6 +25,10 @@ def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeated(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_and_read(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "op3_lz_fingerprint": op3_lz_fingerprint, "op5_media": op5_media, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "op3_lz_fingerprint": op3_lz_fingerprint, "op4_suffix_dedup": op4_suffix_dedup, "op5_media": op5_media, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
 ORACLE_SQL: dict[str, str] = {}
