@@ -164,8 +164,10 @@ def fit(docs: DataFrame, sample: int = 2400, id_col: str = "doc_id", text_col: s
     return train([r["text"] for r in kept], [r["label"] for r in kept])
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, lang_pred, score, rejected`` of every text."""
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``lang_pred, score, rejected`` of every text, after ``id_col`` or after the columns ``keep``."""
+    keep = keep or [id_col]
+    names = [f"kept{k}" for k in range(len(keep))]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the size of the table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +181,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 best[letters] = np.array(model.languages, object)[odds.argmax(axis=1)][letters]
                 score[letters] = odds.max(axis=1)[letters]
             reject = ~letters | (best == "und") | (score < (model.least if model else 1))
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(best, pa.string()), pa.array(score), pa.array(reject)], ["key", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*[column(batch, n) for n in names], pa.array(best, pa.string()), pa.array(score), pa.array(reject)], [*names, "lang_pred", "score", "rejected"])
 
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", id_col)
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).cast("string").alias("text"))
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    found = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return found.withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, cut, slices
+from tessera.llm.common import column, cut, slices, staged
 from tessera.llm.components import components
 
 SLICE, CROWD = 1 << 20, 128
@@ -275,3 +275,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     label = components(found).withColumnRenamed("node", "rep")
     of = first.select("content", "rep").join(label, "rep", "left").select("content", F.coalesce("component", "rep").alias("component_id"))
     return signed.select("key", "content").join(of, "content").select(F.col("key").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row of each group of near-duplicates: the one of least id.
+
+    Rows with null or repeated ids are told apart by a number of their own, and then that number decides.
+    """
+    unclear = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1))
+    if unclear.isEmpty():
+        kept = near_duplicates(docs, width, similarity, seed, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+        return docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+    kept = near_duplicates(rows, width, similarity, seed, "__row", text_col).where("__row = component_id").select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
