@@ -1,13 +1,13 @@
 """Substring deduplication by hashing units of text.
 
 A text is cut into units: its lines (or paragraphs), and, since shared passages often begin and end within a line, the
-sentences of each line. A unit is normalised (case folded, everything but letters and digits dropped between words) and
-digested. Over all documents the digests are counted and each keeps its first occurrence, by document id and then by
-place; the other occurrences of at least ``min_words`` words are removed, with the offsets that they had in the text.
+sentences of each line, where sentences of fewer than ``MIN_WORDS`` words join the one that follows. A unit is
+normalised (lower case, words of letters and digits with single spaces) and digested. Over all documents the digests
+are counted and each keeps its first occurrence, by document id and then by place; the other occurrences are removed,
+with the offsets that they had in the text. Units of fewer than ``min_words`` words stay.
 
 Passages without sentence marks in reach (tables, shouted lines) are long units; a unit of more than ``SPLIT`` words is
 cut after each word whose hash says so, about every eighth, so that equal passages are cut alike wherever they stand.
-Shorter repeated units between two removed ones go with them, so a repeated passage leaves no crumbs.
 
 Defined results: null and empty texts have no units and are kept as they are. Of repeated rows the first keeps its
 units; among rows of equal id (or null ids, which come last) the text's hash decides, and equal rows lose none between
@@ -16,98 +16,97 @@ them. Texts that lose everything stay as empty texts. Empty tables give no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, slices
+from tessera.llm.common import column, slices, staged
 
 SLICE, SPLIT, MIN_WORDS = 1 << 20, 24, 5
-BREAKS = {
-    "line": regex.compile(r"\n+"),
-    "paragraph": regex.compile(r"\n\s*\n"),
-    "sentence": regex.compile(r"\n+|(?<=[.!?])\s+(?=\S)"),
-}
-WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
-GAP = regex.compile(r"\S+\s*")
+LINE, PARAGRAPH, STOP = re.compile(r"\n+"), re.compile(r"\n\s*\n"), re.compile(r"[.!?]\s+")
+WORD, GAP = re.compile(r"[^\W_]+"), re.compile(r"\S+\s*")
 
 
 def units(text: str, kind: str = "sentence") -> list[tuple[int, int]]:
     """Begin and end of the units of ``text``: they touch or leave only white space between them."""
     out, begin = [], 0
-    for m in [*BREAKS[kind].finditer(text), None]:
+    for m in [*(PARAGRAPH if kind == "paragraph" else LINE).finditer(text), None]:
         end = m.start() if m else len(text)
         if end > begin:
-            out += _pieces(text, begin, end) if kind == "sentence" and text.count(" ", begin, end) >= SPLIT else [(begin, end)]
+            if kind == "sentence":
+                _sentences(text, begin, end, out)
+            else:
+                out.append((begin, end))
         begin = m.end() if m else end
     return out
 
 
-def _pieces(text: str, begin: int, end: int) -> list[tuple[int, int]]:
-    """A long unit cut after words whose hash is 0 modulo 8."""
-    out, at = [], begin
+def _sentences(text: str, begin: int, end: int, out: list[tuple[int, int]]) -> None:
+    """The sentences of a line, short ones joined to the next and long ones cut; adds them to ``out``."""
+    for stop in [*(m.end() for m in STOP.finditer(text, begin, end)), end]:
+        spaces = text.count(" ", begin, stop)
+        if stop > begin and (spaces >= MIN_WORDS or stop == end):
+            if spaces >= SPLIT:
+                _cut(text, begin, stop, out)
+            else:
+                out.append((begin, stop))
+            begin = stop
+
+
+def _cut(text: str, begin: int, end: int, out: list[tuple[int, int]]) -> None:
+    """A long unit in pieces that end with words whose hash is 0 modulo 8, if the piece isn't short."""
+    at, words = begin, 0
     for m in GAP.finditer(text, begin, end):
-        if zlib.crc32(m.group().strip().lower().encode()) % 8 == 0:
+        words += 1
+        if words >= MIN_WORDS and zlib.crc32(m.group().strip().lower().encode()) % 8 == 0:
             out.append((at, m.end()))
-            at = m.end()
-    return [*out, (at, end)] if at < end else out
+            at, words = m.end(), 0
+    if at < end:
+        out.append((at, end))
 
 
 def digest(unit: str) -> tuple[int, int, int]:
     """Two halves of a 128-bit digest of the normalised unit, and its number of words."""
-    words = WORD.findall(unit.casefold())
+    words = WORD.findall(unit.lower())
     value = xxhash.xxh3_128_intdigest(" ".join(words).encode())
     return (value >> 64) - (1 << 63), (value & 0xFFFFFFFFFFFFFFFF) - (1 << 63), len(words)
 
 
-def _listed(docs: DataFrame, kind: str) -> DataFrame:
-    """``key, place, unit, begin, end, words, high, low`` of every unit that has a word."""
+def _listed(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """``key, tie, begin, end, high, low`` of every unit that has enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            row, number, begin, end, high, low, count = [], [], [], [], [], [], []
+            row, begin, end, high, low = [], [], [], [], []
             for k, text in enumerate(column(batch, "text").to_pylist()):
-                for n, (a, b) in enumerate(units(text or "", kind)):
+                for a, b in units(text or "", kind):
                     x, y, words = digest(text[a:b])
-                    if words:
-                        row.append(k), number.append(n), begin.append(a), end.append(b), high.append(x), low.append(y), count.append(words)
+                    if words >= min_words:
+                        row.append(k), begin.append(a), end.append(b), high.append(x), low.append(y)
             at = pa.array(row, pa.int64())
-            ints = [pa.array(x, pa.int32()) for x in (number, begin, end, count)]
-            yield pa.RecordBatch.from_arrays([column(batch, "key").take(at), column(batch, "tie").take(at), *ints, pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["key", "tie", "unit", "begin", "end", "words", "high", "low"])
+            numbers = [pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())]
+            yield pa.RecordBatch.from_arrays([column(batch, "key").take(at), column(batch, "tie").take(at), *numbers], ["key", "tie", "begin", "end", "high", "low"])
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, tie long, unit int, begin int, end int, words int, high long, low long")
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, tie long, begin int, end int, high long, low long")
 
 
 def removed_spans(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, tie, spans``: for documents that lose units, the begins and ends in the text, in order, as they were.
 
     Only digests and places are shuffled. The first occurrence of a digest comes from a grouped minimum, which is taken
-    before the shuffle too; units of digests that occur once are dropped by a semi-join before anything is gathered.
+    before the shuffle too; units of digests that occur once are dropped by the join before anything is gathered.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"), F.col(text_col).cast("string").alias("text"))
-    listed = _listed(rows, kind)
-    order = F.struct(F.col("key").isNull(), "key", "tie", "unit")
+    listed = staged(_listed(rows, kind, min_words))
+    order = F.struct(F.col("key").isNull(), "key", "tie", "begin")
     firsts = listed.groupBy("high", "low").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    again = listed.join(firsts, ["high", "low"]).where(~order.eqNullSafe(F.col("first"))).select("key", "tie", "unit", "begin", "end", "words")
-    found = again.groupBy("key", "tie").agg(F.sort_array(F.collect_set(F.struct("unit", "begin", "end", "words"))).alias("found"))
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chosen = []
-            for repeated in column(batch, "found").to_pylist():
-                long = {x["unit"] for x in repeated if x["words"] >= min_words}
-                goes = [x for x in repeated if x["unit"] in long or (x["unit"] - 1 in long and x["unit"] + 1 in long)]
-                chosen.append([{"begin": x["begin"], "end": x["end"]} for x in goes])
-            kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-            made = pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "tie"), pa.array(chosen, kind)], ["key", "tie", "spans"])
-            yield made.filter(pa.compute.greater(pa.compute.list_value_length(made.column(2)), 0))
-
-    spans = found.mapInArrow(choose, f"key {rows.schema['key'].dataType.simpleString()}, tie long, spans array<struct<begin: int, end: int>>")
+    again = listed.join(firsts, ["high", "low"]).where(~order.eqNullSafe(F.col("first"))).select("key", "tie", "begin", "end")
+    spans = again.groupBy("key", "tie").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     return spans.withColumnRenamed("key", id_col)
 
 
