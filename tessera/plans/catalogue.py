@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tessera.plans import people, places, reports, resolution, sources, texts  # noqa: E402, F401
+from tessera.plans import exports, people, places, reports, resolution, sources, texts  # noqa: E402, F401
