@@ -6,13 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import enrichment, export
 from tessera.plans.catalogue import query
-from tessera.plans.domain import WITH, places
+from tessera.plans.domain import WITH, areas, places
 from tessera.session import table
 from tessera.sources import external, files
 
-_R = {"walk_in": "is_walk_in", "appointment_required": "is_appointment", "no_id_required": "is_no_id", "photo_id": "is_photo_id", "proof_of_address": "is_proof", "income_verification": "is_income"}
-
-
 @query(WITH + """SELECT place, CASE WHEN is_walk_in AND is_no_id THEN CASE place % 2 WHEN 0 THEN 'Walk in, no papers asked.' ELSE 'Come by any open day without papers.' END
  WHEN is_walk_in THEN CASE place % 2 WHEN 0 THEN 'Walk in during open hours.' ELSE 'No appointment, just come by.' END WHEN main_service = 'delivery' THEN 'Food brought to your door.'
  WHEN main_service = 'hot_meals' THEN 'Warm meals, served on site.' WHEN main_service = 'mobile_pantry' THEN 'A pantry that comes to your street.'
@@ -94,8 +91,6 @@ def share_texts(spark, sf_dir):
 
 @query(WITH + "SELECT area, label FROM area")
 def feature_export(spark, sf_dir):
-    from tessera.plans.domain import areas
-
     features = files.as_features(areas(spark, sf_dir), "lat", "lon", ["area", "label"])
     return features.select(F.get_json_object("feature", "$.properties.area").cast("int").alias("area"), F.get_json_object("feature", "$.properties.label").alias("label"))
 
