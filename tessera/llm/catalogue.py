@@ -59,4 +59,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "op3_lz_fingerprint": op3_lz_fingerprint, "op4_suffix_dedup": op4_suffix_dedup, "op5_media": op5_media, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Over hexadecimal text, in which a byte is two characters. The others depend on digests, models or searches that SQL
+#: has no function for; their tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_dedup": """WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents)
+, w AS (SELECT r, s, substr(h, CAST(2 * s + 1 AS BIGINT), 400) AS v FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS s FROM d WHERE length(h) >= 400))
+, twice AS (SELECT v FROM w GROUP BY v HAVING count(*) > 1)
+, hit AS (SELECT r, s FROM w SEMI JOIN twice ON w.v = twice.v)
+, isle AS (SELECT r, s, sum(CASE WHEN p IS NULL OR s > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS g FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS p FROM hit))
+, runs AS (SELECT r, g, min(s) AS a, max(s) + 200 AS b FROM isle GROUP BY r, g)
+, cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY r ORDER BY a) IS NULL AS last FROM runs)
+, kept AS (SELECT c.r, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)) || CASE WHEN last THEN substr(h, CAST(2 * b + 1 AS BIGINT)) ELSE '' END, '' ORDER BY a) AS k, sum(b - a) AS n_removed, count(*) AS n_spans FROM cut c JOIN d ON c.r = d.r GROUP BY c.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r"""
+}

@@ -99,6 +99,18 @@ def test_media_rejects_others():
             media.decode_frames(data, *media.read_avi(data)[1:])
 
 
+def test_other_jpeg_frames():
+    payload = np.arange(192, dtype=np.uint8)
+    assert (media.block_means(media.encode_frames(payload)[0].tobytes()).ravel() == payload).all()
+    head = b"\xff\xd8" + media._segment(0xDB, bytes([0, 8] + [1] * 63)) + media._segment(0xC0, bytes([8, 0, 8, 0, 16, 1, 1, 0x11, 0]))
+    head += media._segment(0xC4, bytes([0x00, 1] + [0] * 15 + [3])) + media._segment(0xC4, bytes([0x10, 1, 1] + [0] * 14 + [0, 1])) + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    assert media.block_means(head + b"\x5a\x5a\xff\xd9").tolist() == [[133, 138]]  # DC 5, one AC, end; twice
+    film = media.avi(np.stack([np.frombuffer(head + b"\x5a\x5a\xff\xd9", np.uint8)] * 3))
+    assert media.decode_any(film, *media.read_avi(film)[1:]).tolist() == [[133, 138]] * 3
+    with pytest.raises(ValueError):
+        media.block_means(head[:-10].replace(b"\xff\xc0", b"\xff\xc2") + head[-10:])
+
+
 def test_shots():
     dark, light = np.zeros((10, 192), np.uint8), np.full((7, 192), 200, np.uint8)
     assert media.cuts(np.concatenate([dark, light, dark]), np.array([0])).tolist() == [0, 10, 17]
