@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute in all modules
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,8 +54,7 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches again in runs of rows whose texts hold at most ``limit`` bytes together (or one longer row)."""
     for batch in batches:
-        array = column(batch, text).cast(pa.large_string())
-        sizes = np.asarray(pa.compute.binary_length(array).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pa.compute.binary_length(column(batch, text)).fill_null(0), dtype=np.int64)
         begin, held = 0, 0
         for row, size in enumerate(sizes.tolist()):
             if held and held + size > limit:

@@ -12,8 +12,9 @@
    The transform is held by its occurrence lists (for each symbol, in order, the places where it stands), which make a
    rank a binary search. Where the common prefix of neighbouring suffixes has ``WINDOW`` bytes, both windows repeat.
 4. An anchor with more than ``CROWD`` distinct spans (a passage that very many texts quote, each in a context of its
-   own) would make a collection that grows with the corpus; its windows are counted one by one by digest, which is
-   exact too and splits over all tasks.
+   own) would make a collection that grows with the corpus. Its spans are cut into parts of at most 24 windows, by how
+   far these begin before the anchor, and dealt by the bytes that all windows of a part share; steps 2 and 3 follow for
+   the parts. What is crowded still is cut into parts of 6, then of 1, where a part is a window and counting decides.
 
 Defined results: null and empty texts have no bytes, so nothing is removed; texts of fewer than ``WINDOW`` bytes lose
 nothing. Repeated rows are documents that repeat each other. Null ids are rows like others. Empty tables give no rows.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import column, ramp, slices, staged, utf8
 
 WINDOW, SEED, WORD, CROWD = 200, 32, 25, 1000
+WIDTHS = (24, 6, 1)
 SLICE, BLOCK = 1 << 19, 1 << 18
 _BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
@@ -73,10 +75,11 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the documents in ``data``: the document, first window, number of windows, anchor and digest of each span."""
+    """Of the documents in ``data``: the document, first window, number of windows, anchor and digest of each span, and
+    where its anchor stands in ``data``."""
     n = np.maximum(0, np.diff(offsets) - WINDOW + 1)
     if not n.any():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     seeds = np.arange(len(data) - SEED + 1)
     hashes = Hashes(data, _BASES[0]).of(seeds, seeds + SEED)
     keys = hashes & ~np.uint64(0xFFFFFFFF) | seeds.astype(np.uint64)
@@ -90,7 +93,7 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(first, len(window)))
     begin = window[first]
     content = Hashes(data, _BASES[1]).of(begin, begin + count + WINDOW - 1)
-    return doc[first], begin - offsets[:-1][doc[first]], count, hashes[anchor[first]], content ^ count.astype(np.uint64)
+    return doc[first], begin - offsets[:-1][doc[first]], count, hashes[anchor[first]], content ^ count.astype(np.uint64), anchor[first]
 
 
 def _listed(docs: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def _listed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            doc, first, count, anchor, content = spans(*utf8(column(batch, "text")))
+            doc, first, count, anchor, content, _ = spans(*utf8(column(batch, "text")))
             own = _mix(_mix(content ^ doc.astype(np.uint64)) + anchor)
             _, keep, inverse, times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
             again = np.flatnonzero(times[inverse] > 1)
@@ -141,12 +144,19 @@ def repeated(strings: list[bytes]) -> np.ndarray:
     m, enough = len(start), WINDOW // WORD
     place = np.arange(m)  # of each document's suffix so far; the empty suffixes come first, in the documents' order
     with tempfile.TemporaryDirectory() as folder:
-        files = [Path(folder, name) for name in ("transform", "prefixes", "suffixes")]
-        kinds = (np.int64, np.uint8, np.int32)
-        for file, kind in zip(files, kinds, strict=True):
-            np.zeros(0, kind).tofile(file)
+        names, kinds, files = ("transform", "prefixes", "suffixes"), (np.int64, np.uint8, np.int32), None
+
+        def read() -> list[np.ndarray]:
+            """What the last round wrote; its files go, and the next round writes others."""
+            if files is None:
+                return [np.zeros(0, k) for k in kinds]
+            values = [np.fromfile(f, k) for f, k in zip(files, kinds, strict=True)]
+            for file in files:
+                file.unlink()
+            return values
+
         for back in range(1, int(size.max(initial=0)) + 1):
-            transform, prefix, suffix = (np.fromfile(f, k) for f, k in zip(files, kinds, strict=True))
+            transform, prefix, suffix = read()
             live = np.flatnonzero(size >= back)
             at = start[live] + WORD * (size[live] - back)
             key = symbol[at].astype(np.int64) << 32 | place[live]
@@ -172,9 +182,10 @@ def repeated(strings: list[bytes]) -> np.ndarray:
             suffixes = np.empty(len(merged), np.int32)
             suffixes[new], suffixes[moved] = at, suffix
             place[live] = m + new
+            files = [Path(folder, f"{name}-{back}") for name in names]
             for file, values in zip(files, (merged & ~0xFFFFFFFF | now[rest], prefixes, suffixes), strict=True):
                 values.tofile(file)
-        prefix, suffix = np.fromfile(files[1], np.uint8), np.fromfile(files[2], np.int32)
+        _, prefix, suffix = read()
     deep = prefix >= enough
     deep[:-1] |= deep[1:]
     return np.sort(suffix[deep]).astype(np.int64)
@@ -195,7 +206,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     contents = listed.groupBy("anchor", "content").agg(F.count("*").alias("times"))
     anchors = contents.groupBy("anchor").agg(F.count("*").alias("contents"))
     busy = contents.join(anchors, "anchor").where("times > 1 OR contents > 1")
-    members = staged(listed.join(busy, ["anchor", "content"]))
+    members = staged(listed.join(staged(busy.select("anchor", "content", "times", "contents")), ["anchor", "content"]))
     copies = members.where("times > 1").select("key", "tie", "first", "count")
 
     # One member of each distinct span whose anchor has others, with the bytes from its document.
@@ -216,22 +227,73 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 chosen = np.flatnonzero((of["contents"] > CROWD) == crowded)
                 row, of = row[chosen], {n: v[chosen] for n, v in of.items()}
                 begin = offsets[row] + of["first"]
-                keys = lambda at: [column(batch, "key").take(pa.array(at)), column(batch, "tie").take(pa.array(at))]
-                if crowded:
-                    n = of["count"].astype(np.int64)
-                    window = np.repeat(begin, n) + ramp(n)
-                    hashes = [Hashes(data, b).of(window, window + WINDOW).view(np.int64) for b in _BASES] if len(window) else [np.zeros(0, np.int64)] * 2
-                    rows = np.repeat(row, n)
-                    yield pa.RecordBatch.from_arrays([*keys(rows), pa.array((window - offsets[rows]).astype(np.int32)), *map(pa.array, hashes)], ["key", "tie", "first", "high", "low"])
-                else:
-                    raw = data.tobytes()
-                    parts = [raw[a : a + c + WINDOW - 1] for a, c in zip(begin.tolist(), of["count"].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*keys(row), pa.array(of["first"], pa.int32()), pa.array(of["anchor"], pa.int64()), pa.array(of["times"] == 1), pa.array(parts, pa.binary())], ["key", "tie", "first", "anchor", "single", "bytes"]
-                    )
+                raw = data.tobytes()
+                parts = [raw[a : a + c + WINDOW - 1] for a, c in zip(begin.tolist(), of["count"].tolist(), strict=True)]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [column(batch, "key").take(at), column(batch, "tie").take(at), pa.array(of["first"], pa.int32()), pa.array(of["anchor"], pa.int64()), pa.array(of["times"] == 1), pa.array(parts, pa.binary())], ["key", "tie", "first", "anchor", "single", "bytes"]
+                )
 
         return run
 
+    form = f"key {kind}, tie long, first int, anchor long, single boolean, bytes binary"
+    built = _collected(found.mapInArrow(fetch(False), form), kind)
+    return inside.union(copies).union(built).union(_crowds(found.mapInArrow(fetch(True), form).drop("anchor"), kind))
+
+
+def _crowds(rows: DataFrame, kind: str) -> DataFrame:
+    """Repeated windows of spans ``key, tie, first, single, bytes`` whose anchors have too many: the fourth step."""
+    found = None
+    for width in WIDTHS:
+        parts = staged(rows.mapInArrow(_parts(width), f"key {kind}, tie long, first int, count int, anchor long, content long, single boolean, bytes binary"))
+        order = F.struct(F.col("key").isNull(), "key", "tie", "first")
+        one = F.min_by(F.struct("key", "tie", "first", "single", "bytes"), order)
+        contents = parts.groupBy("anchor", "content").agg(F.count("*").alias("times"), one.alias("one"))
+        groups = contents.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
+        copies = parts.join(contents.where("times > 1").select("anchor", "content"), ["anchor", "content"]).select("key", "tie", "first", "count")
+        mixed = staged(contents.join(groups, "anchor").select("one.*", "anchor", "contents"))
+        built = _collected(mixed.where(F.col("contents") <= CROWD).select("key", "tie", "first", "anchor", "single", "bytes"), kind)
+        found = copies.union(built) if found is None else found.union(copies).union(built)
+        rows = mixed.where(F.col("contents") > CROWD).select("key", "tie", "first", "single", "bytes")
+        if rows.isEmpty():
+            break
+    return found
+
+
+def _parts(width: int):
+    """Cut spans into parts of at most ``width`` windows that begin about equally far before the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes", SLICE):
+            strings = column(batch, "bytes").cast(pa.large_binary())
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.binary_length(strings), dtype=np.int64))])
+            data = np.frombuffer(b"".join(strings.to_pylist()), np.uint8)
+            row, _, count, anchor, _, place = spans(data, offsets)
+            begin = offsets[row]
+            lead = place - begin  # the first window begins so far before the anchor
+            high, low = lead // width, (lead - count + 1) // width
+            n = high - low + 1
+            of = np.repeat(np.arange(len(row)), n)
+            part = high[of] - ramp(n)
+            first = np.maximum(0, lead[of] - (part * width + width - 1))
+            last = np.minimum(count[of] - 1, lead[of] - part * width)
+            core = place[of] - part * width
+            shared, whole = Hashes(data, _BASES[0]), Hashes(data, _BASES[1])
+            group = _mix(anchor[of] ^ _mix(shared.of(core, core + WINDOW + 1 - width) + part.astype(np.uint64)))
+            content = _mix(whole.of(begin[of] + first, begin[of] + last + WINDOW) + (lead[of] - first).astype(np.uint64))
+            raw = data.tobytes()
+            cut = [raw[a:b] for a, b in zip((begin[of] + first).tolist(), (begin[of] + last + WINDOW).tolist(), strict=True)]
+            at = pa.array(row[of])
+            keep = [column(batch, c).take(at) for c in ("key", "tie", "single")]
+            places = [pa.array((np.asarray(column(batch, "first"))[row[of]] + first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*keep[:2], *places, pa.array(group.view(np.int64)), pa.array(content.view(np.int64)), keep[2], pa.array(cut, pa.binary())], ["key", "tie", "first", "count", "anchor", "content", "single", "bytes"])
+
+    return run
+
+
+def _collected(rows: DataFrame, kind: str) -> DataFrame:
+    """Repeated windows of distinct spans ``key, tie, first, anchor, single, bytes``, a collection for each run of anchors."""
+
     def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -269,11 +331,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         if held:
             yield resolve()
 
-    rows = found.mapInArrow(fetch(False), f"key {kind}, tie long, first int, anchor long, single boolean, bytes binary")
-    built = rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(collections, f"key {kind}, tie long, first int, count int")
-    windows = found.mapInArrow(fetch(True), f"key {kind}, tie long, first int, high long, low long")
-    crowds = windows.join(windows.groupBy("high", "low").count().where("count > 1").drop("count"), ["high", "low"], "left_semi")
-    return inside.union(copies).union(built).union(crowds.select("key", "tie", "first", F.lit(1).alias("count")))
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(collections, f"key {kind}, tie long, first int, count int")
 
 
 def _with(docs: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
