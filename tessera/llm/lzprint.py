@@ -20,9 +20,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tessera.llm.common import column
 
@@ -134,14 +136,20 @@ def fingerprint_edited(text: str, tail: str) -> tuple[np.ndarray, np.ndarray]:
 def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The documents in ranges of ids, each range with the first of the range below as its last row (``ghost``).
 
-    Ranges are cut at quantiles of the ids; ids alone are read for that. What comes to the driver is a row for each range.
+    Ranges are cut at quantiles of the ids, which are numbers; ids alone are read for that. What comes to the driver is a
+    row for each range.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.coalesce(F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (F.col("key") > c).cast("int")), F.lit(-1)) if cuts else F.coalesce(F.col("key") * 0, F.lit(-1)).cast("int")
+    cuts = np.array(sorted(set(cuts)))
+
+    @F.pandas_udf(IntegerType())
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, keys.to_numpy()).astype(np.int32))
+
+    part = F.when(F.col("key").isNull(), -1).otherwise(range_of(F.coalesce(F.col("key"), F.lit(0))))
     rows = rows.withColumn("part", part)
     top = rows.groupBy("part").agg(F.max("key").alias("key"))
     tops = {r["part"]: r["key"] for r in top.collect()}
