@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import column, slices
 
-#: Pieces that are differenced together, and bytes of text that are tokenised at once.
-RUN, SLICE = 768, 4 << 20
+#: Pieces that are differenced together, pieces that a task holds at once, and bytes of text tokenised at once.
+RUN, HELD, SLICE = 768, 1 << 17, 4 << 20
 
 
 def differencing(sizes: list[int], windows: int) -> np.ndarray:
@@ -118,17 +118,25 @@ def pack(
             yield pa.RecordBatch.from_arrays([column(batch, "key").take(pa.array(row, pa.int64())), *numbers], ["key", "start", "length", "ids_crc32", "doc_tokens"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if len(b)]) else None
-        if found is None:
-            return
+        held, used = [], 0
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= HELD:
+                found, used = assign(pa.Table.from_batches(held), used)
+                yield from found
+                held = []
+        if sum(map(len, held)):
+            yield from assign(pa.Table.from_batches(held), used)[0]
+
+    def assign(found: pa.Table, used: int) -> tuple[list[pa.RecordBatch], int]:
+        """The pieces with sequences, of which the task has given ``used`` before."""
         base = found.column("part")[0].as_py() << 32  # a task's sequences have numbers of their own
         length = found.column("length").to_numpy()
-        whole = np.flatnonzero(length == capacity)
-        rest = np.flatnonzero(length < capacity)
-        sequence, offset, used = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), len(whole)
-        sequence[whole] = np.arange(used)
-        runs = max(1, round(len(rest) / RUN))
-        for part in np.array_split(rest, runs):
+        whole, rest = np.flatnonzero(length == capacity), np.flatnonzero(length < capacity)
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        sequence[whole] = used + np.arange(len(whole))
+        used += len(whole)
+        for part in np.array_split(rest, max(1, round(len(rest) / RUN))):
             if not len(part):
                 continue
             window = pack_run(length[part], capacity)
@@ -140,7 +148,7 @@ def pack(
             offset[part[order]] = ends - sizes - (ends - sizes)[first]
             used += int(window.max()) + 1
         found = found.drop_columns(["part"]).append_column("sequence_id", pa.array(base + sequence)).append_column("offset", pa.array(offset))
-        yield from found.to_batches(max_chunksize=10_000)
+        return found.to_batches(max_chunksize=10_000), used
 
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     pieces = rows.mapInArrow(tokenise, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long")
