@@ -97,12 +97,14 @@ def train(texts: list[str], labels: list[str], seed: int = 2) -> Model:
         back = rng.random() < 0.2  # whole texts are held back, not parts
         for k in range(0, max(1, len(raw)), LESSON):
             parts.append(raw[k : k + LESSON]), target.append(languages.index(label)), held.append(back)
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    bucket, text = _features(data, offsets)
-    counts = np.bincount(text, minlength=len(parts))
-    order = np.argsort(text, kind="stable")
-    bucket, starts = bucket[order], np.cumsum(counts) - counts
+    buckets, counts = [], []
+    for k in range(0, len(parts), 1000):  # a few at a time: the features take many times the room of the text
+        some = parts[k : k + 1000]
+        bucket, text = _features(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in some])]).astype(np.int64))
+        buckets.append(bucket[np.argsort(text, kind="stable")].astype(np.uint16))
+        counts.append(np.bincount(text, minlength=len(some)))
+    bucket, counts = np.concatenate(buckets), np.concatenate(counts)
+    starts = np.cumsum(counts) - counts
     target, held = np.array(target), np.array(held)
     k = len(languages)
     embedding, layer, bias = rng.normal(0, 0.1, (BUCKETS, WIDTH)), rng.normal(0, 0.1, (WIDTH, k)), np.zeros(k)
@@ -141,7 +143,7 @@ def train(texts: list[str], labels: list[str], seed: int = 2) -> Model:
     return model
 
 
-def fit(docs: DataFrame, sample: int = 2400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
+def fit(docs: DataFrame, sample: int = 1600, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
     """Train on at most ``sample`` labelled rows, spread evenly over the languages and picked by a hash of their ids.
 
     Only these rows come to the driver; ``sample`` is the bound, whatever the size of the table.

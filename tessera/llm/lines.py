@@ -105,13 +105,17 @@ def removed_spans(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_
     listed = staged(_listed(rows, kind, min_words))
     order = F.struct(F.col("key").isNull(), "key", "tie", "begin")
     firsts = listed.groupBy("high", "low").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    again = listed.join(firsts, ["high", "low"]).where(~order.eqNullSafe(F.col("first"))).select("key", "tie", "begin", "end")
+    again = listed.join(staged(firsts), ["high", "low"]).where(~order.eqNullSafe(F.col("first"))).select("key", "tie", "begin", "end")
     spans = again.groupBy("key", "tie").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     return spans.withColumnRenamed("key", id_col)
 
 
 def remove_repeats(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with repeated units cut out of the text, and ``removed_spans``: where they were in the text before."""
+    """The documents with repeated units cut out of the text, and ``removed_spans``: where they were in the text before.
+
+    A column of that name in the input is replaced.
+    """
+    docs = docs.drop("removed_spans")
     spans = removed_spans(docs, kind, min_words, id_col, text_col).withColumnsRenamed({id_col: "__key", "tie": "__tie", "spans": "removed_spans"})
     held = docs.withColumn("__tie2", F.xxhash64(F.col(text_col).cast("string")))
     joined = held.join(spans, held[id_col].eqNullSafe(spans["__key"]) & (held["__tie2"] == spans["__tie"]), "left").drop("__key", "__tie", "__tie2")

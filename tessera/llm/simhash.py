@@ -218,12 +218,26 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def _pivots(rows: DataFrame) -> DataFrame:
+    """``shard, pivot``: of ``shard, rep, fingerprint`` the representative nearest to its shard's majority of bits."""
+    bit = lambda b: F.shiftrightunsigned("fingerprint", b).bitwiseAND(F.lit(1))
+    sums = rows.groupBy("shard").agg(F.count("*").alias("n"), *[F.sum(bit(b)).alias(f"b{b}") for b in range(64)])
+    middle = F.lit(0).cast("long")
+    for b in range(64):
+        middle = middle.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(_signed(1 << b))).otherwise(F.lit(0)).cast("long"))
+    middle = cut(sums.select("shard", middle.alias("middle")))
+    nearest = F.struct(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("middle"))).alias("d"), "rep")
+    return rows.join(middle, "shard").groupBy("shard").agg(F.min(nearest).alias("one")).select("shard", F.col("one.rep").alias("pivot"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, component_id``: documents linked, over any number of steps, by shingle sets of at least ``similarity``.
 
-    Ids must be distinct. Documents with equal sets are one representative. A shard of more than ``SHARD``
-    representatives is worked in parts, and what each part leaves (the first of each group, and all that are alone)
-    meets again in the next round until it fits; where a round leaves as many as before, the parts are made larger.
+    Ids must be distinct. Documents with equal sets are one representative. In a shard of more than ``SHARD``
+    representatives, all are first held against a pivot, the one nearest to the majority of the shard's fingerprints,
+    which is how the many copies of one text find it; the others are worked in parts, and what each part leaves (the
+    first of each group, and all that are alone) meets again in the next round until it fits. Where a round leaves as
+    many as before, the parts are made larger.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -257,16 +271,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
             tree.add(value)
         return pa.table({"shard": group.column("shard"), "rep": pa.array(reps, group.schema.field("rep").type), "head": pa.array([reps[groups.top(k)] for k in range(len(reps))], group.schema.field("rep").type)})
 
+    def near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = ([np.frombuffer(x, np.uint32) for x in column(batch, c).to_pylist()] for c in ("set", "pivot_set"))
+            yield batch.filter(pa.array([_alike(x, y, similarity) for x, y in zip(own, other, strict=True)], pa.bool_())).select(["shard", "rep", "pivot"])
+
     found, room, before = None, SHARD, None
     while True:
-        counts = members.groupBy("shard").count().where("count > 1")
+        counts = cut(members.groupBy("shard").count().where("count > 1"))
+        crowded = counts.where(F.col("count") > room)
+        if not crowded.isEmpty():
+            pivots = cut(_pivots(cut(members.join(crowded.select("shard"), "shard").join(sized.select("rep", "fingerprint"), "rep"))))
+            pivots = pivots.join(sized.select(F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
+            met = members.join(sized.select("rep", "set"), "rep").join(pivots, "shard").where("rep != pivot").select("shard", "rep", "pivot", "set", "pivot_set")
+            met = cut(met.mapInArrow(near_pivot, f"shard long, rep {kind}, pivot {kind}"))
+            edges = met.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+            found = edges if found is None else found.union(edges)
+            members = cut(members.join(met, ["shard", "rep"], "left_anti"))
+            counts = cut(members.groupBy("shard").count().where("count > 1"))
         part = F.pmod(F.xxhash64("rep", F.lit(room), F.lit(before or 0)), F.ceil(F.col("count") / room))
         here = members.join(counts, "shard").withColumn("part", part).join(sized.select("rep", "fingerprint", "set"), "rep")
         worked = cut(here.groupBy("shard", "part").applyInArrow(resolve, f"shard long, rep {kind}, head {kind}"))
         edges = worked.where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
         found = edges if found is None else found.union(edges)
-        crowded = counts.where(F.col("count") > room).select("shard")
-        left = worked.where("rep = head").join(crowded, "shard").select("rep", "shard")
+        left = worked.where("rep = head").join(counts.where(F.col("count") > room).select("shard"), "shard").select("rep", "shard")
         members = cut(left)
         now = members.count()
         if not now:
