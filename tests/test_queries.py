@@ -1,5 +1,7 @@
 """Every query with SQL gives what the SQL gives, over the smallest tables."""
 
+from numbers import Number
+
 import duckdb
 import pandas as pd
 import pytest
@@ -20,7 +22,7 @@ def sql():
 
 def rows(frame: pd.DataFrame):
     frame = frame[sorted(frame.columns)]
-    return sorted([tuple(None if pd.isna(v) else str(v) if not isinstance(v, (int, float, bool)) else float(v) for v in r) for r in frame.itertuples(index=False)], key=repr)
+    return sorted([tuple(None if pd.isna(v) else str(v) if not isinstance(v, Number) else float(v) for v in r) for r in frame.itertuples(index=False)], key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
