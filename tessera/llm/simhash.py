@@ -8,8 +8,8 @@ within the radius. The trees stay in the task that holds the bucket; broadcastin
 send every executor something as large as the corpus. A bucket tells a spanning forest of its links, never all pairs.
 
 ``near_duplicates`` finds documents whose word shingles are alike. There the fingerprints of alike documents differ in
-more bits than blocks can be made for, so shards are keyed by pairs of minimum hashes of the shingles; within a shard
-the BK-tree proposes and the shingle sets decide.
+more bits than blocks can be made for, so it needs no fingerprints: documents that share one of their rarest shingles
+meet, and the shingle sets decide.
 
 Defined results: null and empty texts have no words and fingerprint 0 (one group in ``near_duplicates``). Repeated rows
 share a fingerprint. Null ids are never a group's id unless all ids of the group are null. Empty tables give no rows.
@@ -18,7 +18,8 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, cut, slices, staged
+from tessera.llm.common import column, cut, ramp, slices, staged
 from tessera.llm.components import components
 
 SLICE, CROWD = 1 << 20, 128
@@ -178,37 +179,38 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42, id
 
 # Near-duplicates by shingle similarity ---------------------------------------------------------------------------
 
-#: Shards of a document, and minimum hashes that make a shard's key: at a similarity of 0.8, 1 - (1 - 0.8**2)**6 = 0.998
-#: of pairs share a shard. A fingerprint's bits differ with probability acos(cosine)/pi, about 0.15 there: of 64, more
-#: than 20 in 2 of 10 000 pairs.
-BANDS, PER_BAND, RADIUS, SHARD = 6, 2, 20, 400
-_MULTIPLIERS = np.random.default_rng(8).integers(1, 2**63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Documents in one part of a comparison; components up to which size it goes pair by pair; turns in which the shingles'
+#: documents are held against one of them before the rest is compared in full.
+SHARD, SMALL, TURNS = 400, 16, 2
+#: Slots in which the shingles of about ``SAMPLE`` documents are counted: a table of fixed size.
+SLOTS, SAMPLE = 1 << 18, 20_000
 
 
-def _signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """``key, content, bands``: a digest of the set of shingles, and the keys of the shards that the document is in."""
+def _set(text: str | None, width: int, seed: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width, seed), np.uint64).astype(np.uint32))
+
+
+def _frequencies(docs: DataFrame, n: int, width: int, seed: int) -> np.ndarray:
+    """How often shingles of each slot stand in a sample of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
         for batch in slices(batches, "text", SLICE):
-            found = [np.unique(np.array(shingle_hashes(t, width, seed), np.uint64)) for t in column(batch, "text").to_pylist()]
-            counts = np.array([len(x) for x in found], np.int64)
-            keys = np.zeros((len(found), BANDS), np.int64)
-            if some := np.flatnonzero(counts).tolist():
-                hashes, starts = np.concatenate(found), (np.cumsum(counts) - counts)[some]
-                least = np.stack([np.minimum.reduceat(hashes * m ^ (hashes * m) >> np.uint64(31), starts) for m in _MULTIPLIERS])
-                least = least.reshape(BANDS, PER_BAND, -1)
-                mixed = np.zeros(least.shape[::2], np.uint64)
-                for part in range(PER_BAND):
-                    mixed = (mixed ^ least[:, part]) * np.uint64(0x9E3779B97F4A7C15)
-                    mixed ^= mixed >> np.uint64(32)
-                keys[some] = (mixed + np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)).T.view(np.int64)
-            content = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
-            offsets = np.arange(len(found) + 1, dtype=np.int32) * BANDS
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "key"), pa.array(content, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["key", "content", "bands"]
-            )
-
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, content binary, bands array<long>")
+            for t in column(batch, "text").to_pylist():
+                counts[_set(t, width, seed) % SLOTS] += 1
+        slot = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
+
+    wanted = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * min(1, SAMPLE / max(n, 1)))
+    found = docs.where(wanted).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    out = np.zeros(SLOTS, np.uint32)
+    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def prefix(n: int, similarity: float) -> int:
+    """Of ``n`` shingles in an order that all sets share, how many must be looked at to meet every set alike."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -218,91 +220,115 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def _pivots(rows: DataFrame) -> DataFrame:
-    """``shard, pivot``: of ``shard, rep, fingerprint`` the representative nearest to its shard's majority of bits."""
-    bit = lambda b: F.shiftrightunsigned("fingerprint", b).bitwiseAND(F.lit(1))
-    sums = rows.groupBy("shard").agg(F.count("*").alias("n"), *[F.sum(bit(b)).alias(f"b{b}") for b in range(64)])
-    middle = F.lit(0).cast("long")
-    for b in range(64):
-        middle = middle.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(_signed(1 << b))).otherwise(F.lit(0)).cast("long"))
-    middle = cut(sums.select("shard", middle.alias("middle")))
-    nearest = F.struct(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("middle"))).alias("d"), "rep")
-    return rows.join(middle, "shard").groupBy("shard").agg(F.min(nearest).alias("one")).select("shard", F.col("one.rep").alias("pivot"))
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, component_id``: documents linked, over any number of steps, by shingle sets of at least ``similarity``.
 
-    Ids must be distinct. Documents with equal sets are one representative. In a shard of more than ``SHARD``
-    representatives, all are first held against a pivot, the one nearest to the majority of the shard's fingerprints,
-    which is how the many copies of one text find it; the others are worked in parts, and what each part leaves (the
-    first of each group, and all that are alone) meets again in the next round until it fits. Where a round leaves as
-    many as before, the parts are made larger.
+    Ids must be distinct. Documents with equal sets are one representative. All sets are put in one order, rare shingles
+    first; two that are alike share one of the first shingles of each (``prefix``). In each of ``TURNS`` turns, the
+    representatives that share such a shingle are held against one of them, and what is found alike is joined to
+    components; a shingle whose representatives are in one component is done. What is left is compared in full: for
+    every two components that share a shingle, those of the smaller one that have it meet every member of the larger,
+    pair by pair or in parts of about ``SHARD`` documents. So no pair is lost, and no task holds a whole crowd.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    signed = cut(_signatures(rows, width, seed))
-    first = signed.groupBy("content").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
-    shards = cut(first.select("rep", F.explode("bands").alias("shard")))
-    shared = shards.join(shards.groupBy("shard").count().where("count > 1").drop("count"), "shard")
-    wanted = shared.groupBy("rep").agg(F.collect_list("shard").alias("shards"))
-    texts = rows.join(wanted, rows["key"] == wanted["rep"]).select("rep", "shards", "text")
+    often = _frequencies(rows, rows.count(), width, seed)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            found = [np.array(shingle_hashes(t, width, seed), np.uint64) for t in column(batch, "text").to_pylist()]
-            counts = np.array([len(x) for x in found], np.int64)
-            prints = majority(np.concatenate(found), counts)
-            packed = [np.unique(x.astype(np.uint32)).tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([column(batch, "rep"), column(batch, "shards"), pa.array(prints), pa.array(packed, pa.binary())], ["rep", "shards", "fingerprint", "set"])
-
-    sized = cut(texts.mapInArrow(sets, f"rep {kind}, shards array<long>, fingerprint long, set binary"))
-    members = sized.select("rep", F.explode("shards").alias("shard"))
-
-    def resolve(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rep")
-        reps, prints = group.column("rep").to_pylist(), [x & 0xFFFFFFFFFFFFFFFF for x in group.column("fingerprint").to_pylist()]
-        own = [np.frombuffer(x, np.uint32) for x in group.column("set").to_pylist()]
-        tree, groups = BKTree(), Groups(len(reps))
-        for k, value in enumerate(prints):
-            for _, other in sorted(tree.within(value, RADIUS)):
-                if groups.top(k) != groups.top(other) and _alike(own[k], own[other], similarity):
-                    groups.join(k, other)
-            tree.add(value)
-        return pa.table({"shard": group.column("shard"), "rep": pa.array(reps, group.schema.field("rep").type), "head": pa.array([reps[groups.top(k)] for k in range(len(reps))], group.schema.field("rep").type)})
-
-    def near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [_set(t, width, seed) for t in column(batch, "text").to_pylist()]
+            packed = [x[np.argsort(often[x % SLOTS], kind="stable")].tobytes() for x in found]
+            content = [xxhash.xxh3_128_digest(x) for x in packed]
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(content, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int32()), pa.array(packed, pa.binary())], ["key", "content", "n", "set"])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "set", SLICE):
+            found = [np.frombuffer(x, np.uint32) for x in column(batch, "set").to_pylist()]
+            found = [x[: prefix(len(x), similarity)] for x in found]
+            own = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int32)), column(batch, "rep").take(pa.array(own))], ["token", "rep"])
+
+    def keep_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = ([np.frombuffer(x, np.uint32) for x in column(batch, c).to_pylist()] for c in ("set", "pivot_set"))
-            yield batch.filter(pa.array([_alike(x, y, similarity) for x, y in zip(own, other, strict=True)], pa.bool_())).select(["shard", "rep", "pivot"])
-
-    found, room, before = None, SHARD, None
-    while True:
-        counts = cut(members.groupBy("shard").count().where("count > 1"))
-        crowded = counts.where(F.col("count") > room)
-        if not crowded.isEmpty():
-            pivots = cut(_pivots(cut(members.join(crowded.select("shard"), "shard").join(sized.select("rep", "fingerprint"), "rep"))))
-            pivots = pivots.join(sized.select(F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
-            met = members.join(sized.select("rep", "set"), "rep").join(pivots, "shard").where("rep != pivot").select("shard", "rep", "pivot", "set", "pivot_set")
-            met = cut(met.mapInArrow(near_pivot, f"shard long, rep {kind}, pivot {kind}"))
-            edges = met.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-            found = edges if found is None else found.union(edges)
-            members = cut(members.join(met, ["shard", "rep"], "left_anti"))
-            counts = cut(members.groupBy("shard").count().where("count > 1"))
-        part = F.pmod(F.xxhash64("rep", F.lit(room), F.lit(before or 0)), F.ceil(F.col("count") / room))
-        here = members.join(counts, "shard").withColumn("part", part).join(sized.select("rep", "fingerprint", "set"), "rep")
-        worked = cut(here.groupBy("shard", "part").applyInArrow(resolve, f"shard long, rep {kind}, head {kind}"))
-        edges = worked.where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-        found = edges if found is None else found.union(edges)
-        left = worked.where("rep = head").join(counts.where(F.col("count") > room).select("shard"), "shard").select("rep", "shard")
-        members = cut(left)
-        now = members.count()
-        if not now:
+            x, y = ([np.frombuffer(s, np.uint32) for s in column(batch, c).to_pylist()] for c in ("set_a", "set_b"))
+            yield batch.filter(pa.array([_alike(p, q, similarity) for p, q in zip(x, y, strict=True)], pa.bool_())).select(["a", "b"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of ``a, b`` those that are alike."""
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for c in ("a", "b"):  # sizes first, so that sets travel only to pairs that can be alike
+            pairs = pairs.join(every.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}")), c)
+        pairs = pairs.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b")
+        pairs = pairs.join(sized.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
+        pairs = pairs.join(sized.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
+        return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(keep_alike, f"a {kind}, b {kind}"))
+
+    def meet(group: pa.Table) -> pa.Table:
+        """A link of every one that asks to one of the members in this part, if any is alike."""
+        asks = np.array(group.column("asks").to_pylist(), bool)
+        own = [np.frombuffer(x, np.uint32) for x in group.column("set").to_pylist()]
+        members, a, b = np.flatnonzero(~asks), [], []
+        sizes = np.array([len(own[k]) for k in members], np.int64)
+        if len(members):
+            tokens, owner = np.concatenate([own[k] for k in members]), np.repeat(np.arange(len(members)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for k in np.flatnonzero(asks).tolist():
+                begin = np.searchsorted(tokens, own[k])
+                many = np.searchsorted(tokens, own[k], "right") - begin
+                both = np.bincount(owner[np.repeat(begin, many) + ramp(many)], minlength=len(members))
+                if len(hit := np.flatnonzero(both >= similarity * (len(own[k]) + sizes - both))):
+                    a.append(k), b.append(members[hit[0]])
+        reps = group.column("rep")
+        return pa.table({"a": reps.take(pa.array(a, pa.int64())), "b": reps.take(pa.array(b, pa.int64()))})
+
+    every = staged(rows.mapInArrow(sets, f"key {kind}, content binary, n int, set binary"))
+    signed, sized = every.select("key", "content"), every.select(F.col("key").alias("rep"), "set")
+    first = cut(signed.groupBy("content").agg(F.min("key").alias("rep")))
+    keys = staged(sized.join(first.select("rep"), "rep", "left_semi").mapInArrow(prefixes, f"token int, rep {kind}"))
+    shared = keys.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1").select("token", "head")
+    keyed = staged(keys.join(shared, "token").select("token", "rep", F.col("rep").alias("component"), "head", F.col("head").alias("other")))
+    found, label = [], None
+    for turn in range(TURNS):
+        found.append(verified(keyed.where("component != other").select(F.col("rep").alias("a"), F.col("head").alias("b"))))
+        label = cut(components(reduce(DataFrame.union, found)).withColumnRenamed("node", "rep"))
+        now = keyed.select("token", "rep").join(label, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
+        head = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("tie"), "rep", "component"))
+        several = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), head.alias("one")).where("low != high")
+        keyed = staged(now.join(several, "token").select("token", "rep", "component", F.col("one.rep").alias("head"), F.col("one.component").alias("other")))
+        if keyed.isEmpty():
             break
-        room, before = (room * 2 if now == before else room), now
-    label = components(found).withColumnRenamed("node", "rep")
-    of = first.select("content", "rep").join(label, "rep", "left").select("content", F.coalesce("component", "rep").alias("component_id"))
-    return signed.select("key", "content").join(of, "content").select(F.col("key").alias(id_col), "component_id")
+    else:
+        found += _rest(keyed, label, sized, kind, verified, meet)
+        label = cut(components(reduce(DataFrame.union, found)).withColumnRenamed("node", "rep"))
+    of = first.join(label, "rep", "left").select("content", F.coalesce("component", "rep").alias("component_id"))
+    return signed.join(of, "content").select(F.col("key").alias(id_col), "component_id")
+
+
+def _rest(keyed: DataFrame, label: DataFrame, sized: DataFrame, kind: str, verified: Callable[[DataFrame], DataFrame], meet: Callable[[pa.Table], pa.Table]) -> list[DataFrame]:
+    """The links ``a, b`` between components that share a token, as far as it takes to join them."""
+    members = label.select("component", F.col("rep").alias("member"))
+    n_of = members.groupBy("component").agg(F.count("*").alias("n"))
+    known = staged(keyed.select("token", "rep", "component").join(n_of, "component", "left").select("token", "rep", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "component").alias("own")))
+    others = known.select("token", F.col("own").alias("larger")).distinct()
+    items = cut(known.join(others, "token").where("own < larger").select("rep", F.col("larger.component").alias("component"), F.col("larger.n").alias("n")).distinct())
+    single = items.where("n = 1").select(F.col("rep").alias("a"), F.col("component").alias("b"))
+    few = items.where(F.col("n").between(2, SMALL)).join(members, "component").select(F.col("rep").alias("a"), F.col("member").alias("b"))
+    out = [verified(single.union(few))]
+    many = items.where(F.col("n") > SMALL)
+    parts = cut(many.groupBy("component", "n").agg(F.count("*").alias("asked")).select("component", F.ceil(F.col("n") / SHARD).alias("parts"), F.ceil(F.col("asked") / SHARD).alias("chunks")))
+    if parts.isEmpty():
+        return out
+
+    def deal(rows: DataFrame, own: str, over: str, own_name: str, over_name: str) -> DataFrame:
+        """Each row in a part of its own kind, and in all of the other kind."""
+        part = F.pmod(F.xxhash64("rep"), F.col(own)).alias(own_name)
+        return rows.join(parts, "component").select("component", "rep", "asks", part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(over) - 1)).alias(over_name))
+
+    asking = deal(many.select("component", "rep", F.lit(True).alias("asks")), "chunks", "parts", "chunk", "part")
+    asked = deal(members.select("component", F.col("member").alias("rep"), F.lit(False).alias("asks")), "parts", "chunks", "part", "chunk")
+    dealt = asking.unionByName(asked).join(sized, "rep").select("component", "part", "chunk", "rep", "asks", "set")
+    return [*out, cut(dealt.groupBy("component", "part", "chunk").applyInArrow(meet, f"a {kind}, b {kind}"))]
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

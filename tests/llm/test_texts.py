@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import GroupedData
 
 from tessera.llm import components, langid, lines, pii, simhash, suffix
 
@@ -99,6 +100,63 @@ def test_near_duplicates(docs, monkeypatch, shard):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == groups(sets, links)
 
 
+def brute_groups(texts):
+    sets = {i: set(shingles(t, 5)) for i, t in texts.items()}
+    return groups(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+def prose(rng, n):
+    return [f"w{k}" for k in rng.integers(0, 10**6, n)]
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for at in rng.choice(len(words), n, replace=False):
+        out[at] = f"x{rng.integers(0, 10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("shard,turns", [(400, 2), (5, 1)])
+def test_versions_of_versions(spark, monkeypatch, shard, turns):
+    for name, value in (("SHARD", shard), ("SMALL", 3), ("TURNS", turns)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rng, rows = np.random.default_rng(5), []
+    base = prose(rng, 100)
+    for _ in range(60):
+        once = changed(rng, base, 2)
+        rows += [once, changed(rng, once, 2), changed(rng, base, 6)]
+    texts = {k: " ".join(words) for k, words in enumerate(rows)}
+    got = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert dict(map(tuple, got.collect())) == brute_groups(texts)
+
+
+def test_near_duplicates_with_a_repeated_line_and_short_ones(spark):
+    rng, texts = np.random.default_rng(6), {}
+    for k in range(20):
+        words, line = prose(rng, 300), prose(rng, 9)
+        texts[10 * k], texts[10 * k + 1] = " ".join(words + line), " ".join(words + line * 20)
+        words = prose(rng, 9)
+        texts[10 * k + 2], texts[10 * k + 3] = " ".join(words), " ".join(words[:8])
+    got = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert dict(map(tuple, got.collect())) == brute_groups(texts) == {k: k - k % 2 for k in texts}
+
+
+def test_a_shared_passage_makes_no_crowd(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 10)
+    largest, apply = [0], GroupedData.applyInArrow
+
+    def counted(self, *args, **kwargs):
+        largest.append(self.count().agg({"count": "max"}).first()[0] or 0)
+        return apply(self, *args, **kwargs)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    rng = np.random.default_rng(7)
+    passage = prose(rng, 70)
+    texts = {k: " ".join(passage + prose(rng, 40)) for k in range(300)}
+    got = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert dict(map(tuple, got.collect())) == {k: k for k in texts} and max(largest) <= 40
+
+
 def test_odd_duplicates(odd, empty):
     assert simhash.classes(odd).count() == odd.count() and simhash.classes(empty).count() == 0
     kept = simhash.keep_one(odd)
