@@ -31,12 +31,16 @@ _TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"],
 }
 _TITLE = "(?:" + "|".join(sorted(_TITLES["m"] + _TITLES["f"], key=len, reverse=True)) + ")"
+#: What may follow a telephone number after a space and is no block of it: entities of four blocks, which a number would
+#: always cut in two, and of three blocks, which it would cut from its second block on.
+_LONG = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)|\d{{4}}(?:[ -]\d{{4}}){{3}}(?![\p{{L}}\d])"
+_SHORT = r"\d{3}-\d{2}-\d{4}(?![\d-])|\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)"
 #: In the order in which they are tried; Java patterns without groups that capture.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "secret": r"(?<!\p{L})(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_+/-]{8,}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)",
+    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})" + rf"(?: (?!{_LONG})|[.-]?)\d{{2,4}}(?:(?: (?!{_LONG}|{_SHORT})|[.-]?)\d{{2,4}}){{1,2}}" + r"(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\p{L}\p{N}.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\p{L}\d])",

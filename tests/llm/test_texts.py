@@ -235,6 +235,21 @@ def test_surrogates(spark, odd, empty):
     assert pii.replace_pii(odd).count() == odd.count() and pii.replace_pii(empty).count() == 0
 
 
+def test_surrogates_of_neighbours(spark):
+    phone, others = "+1 (826) 555-4081", ["190.137.223.204", "4111 1111 1111 1111", "4111111111111111", "123-45-6789", "843-555-7672", "a.b@mail.example.com", "+1 (843) 555-7672"]
+    texts = [f"call {phone} now"] + [f"call {phone} {o} now" for o in others] + [f"call {o} {phone} now" for o in others] + [f"{o} alone" for o in others]
+    texts += ["call +49 30 1234 190.137.223.204 now", "call +49 30 12 34 56 now", "call +7 495 123-45-6789 now", "call +49.30.12.34.56 now"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    got = [r["text"] for r in pii.replace_pii(rows).orderBy("n").collect()]
+    new = got[0][5:-4]
+    alone = [got[15 + k][: -len(" alone")] for k in range(7)]
+    assert new != phone and not {*others} & {*alone}
+    assert got[1:8] == [f"call {new} {o} now" for o in alone] and got[8:15] == [f"call {o} {new} now" for o in alone]
+    assert alone[0] in got[22] and "1234" not in got[22]
+    for text, old in zip(got[23:], texts[23:], strict=True):
+        assert text != old and re.sub(r"\d", "0", text) == re.sub(r"\d", "0", old)
+
+
 def test_surrogates_stay_distinct(spark):
     names = [f"x {a}@{b}.io y" for a in "abcdefghijklm" for b in "abcde"]
     rows = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
