@@ -9,10 +9,14 @@ from tessera.llm.common import cut
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step: every neighbour (the larger ones, or the node and the smaller ones) goes to the least neighbour."""
+    """One star step: every neighbour (the larger ones, or the node and the smaller ones) goes to the least neighbour.
+
+    A star's centre may have a large part of all links. The least neighbours are found with partial aggregates and
+    written first, so that both sides of the join are exchanges, which adaptive execution splits at the centre.
+    """
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))

@@ -24,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import column, cut, ramp, slices, staged
@@ -179,9 +179,8 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42, id
 
 # Near-duplicates by shingle similarity ---------------------------------------------------------------------------
 
-#: Documents in one part of a comparison; components up to which size it goes pair by pair; turns in which the shingles'
-#: documents are held against one of them before the rest is compared in full.
-SHARD, SMALL, TURNS = 400, 16, 2
+#: Documents in one part of a comparison; components up to which size it goes pair by pair.
+SHARD, SMALL = 400, 16
 #: Slots in which the shingles of about ``SAMPLE`` documents are counted: a table of fixed size.
 SLOTS, SAMPLE = 1 << 18, 20_000
 
@@ -224,11 +223,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     """``id_col, component_id``: documents linked, over any number of steps, by shingle sets of at least ``similarity``.
 
     Ids must be distinct. Documents with equal sets are one representative. All sets are put in one order, rare shingles
-    first; two that are alike share one of the first shingles of each (``prefix``). In each of ``TURNS`` turns, the
-    representatives that share such a shingle are held against one of them, and what is found alike is joined to
-    components; a shingle whose representatives are in one component is done. What is left is compared in full: for
-    every two components that share a shingle, those of the smaller one that have it meet every member of the larger,
-    pair by pair or in parts of about ``SHARD`` documents. So no pair is lost, and no task holds a whole crowd.
+    first; two that are alike share one of the first shingles of each (``prefix``), and of the first that they share, so
+    many stand at or after it in both sets as they must have in common (``_may_meet``). First, the representatives that
+    have a shingle are held against the one in which the fewest rarer shingles stand before it: a text has none of what
+    its edited copies add, so that is where they come from. What is found alike is joined to components; a shingle whose
+    representatives are in one component is done. What is left is compared in full: for every two components that may
+    meet at a shingle, those of the smaller one that have it meet every member of the larger, pair by pair or in parts
+    of about ``SHARD`` documents. So no pair is lost, and no task holds a whole crowd.
+
+    Sets are dealt by id once and stay there; what moves is pairs, and the sets of those in a pair.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -239,14 +242,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
             found = [_set(t, width, seed) for t in column(batch, "text").to_pylist()]
             packed = [x[np.argsort(often[x % SLOTS], kind="stable")].tobytes() for x in found]
             content = [xxhash.xxh3_128_digest(x) for x in packed]
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(content, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int32()), pa.array(packed, pa.binary())], ["key", "content", "n", "set"])
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(content, pa.binary()), pa.array(packed, pa.binary())], ["key", "content", "set"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "set", SLICE):
             found = [np.frombuffer(x, np.uint32) for x in column(batch, "set").to_pylist()]
+            size = np.array([len(x) for x in found], np.int64)
             found = [x[: prefix(len(x), similarity)] for x in found]
-            own = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int32)), column(batch, "rep").take(pa.array(own))], ["token", "rep"])
+            many = np.array([len(x) for x in found], np.int64)
+            own = np.repeat(np.arange(len(found)), many)
+            numbers = [pa.array(x.astype(np.int32)) for x in (ramp(many), size[own])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int32)), *numbers, column(batch, "rep").take(pa.array(own))], ["token", "pos", "n", "rep"])
 
     def keep_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,13 +260,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
             yield batch.filter(pa.array([_alike(p, q, similarity) for p, q in zip(x, y, strict=True)], pa.bool_())).select(["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of ``a, b`` those that are alike."""
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        for c in ("a", "b"):  # sizes first, so that sets travel only to pairs that can be alike
-            pairs = pairs.join(every.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}")), c)
-        pairs = pairs.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b")
-        pairs = pairs.join(sized.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
-        pairs = pairs.join(sized.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
+        """Of the pairs ``a, b``, in which many may have one ``b``, those that are alike."""
+        pairs = staged(pairs.distinct())
+        asked = pairs.select("b").distinct().join(sized.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
+        pairs = pairs.join(sized.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(asked, "b")
         return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(keep_alike, f"a {kind}, b {kind}"))
 
     def meet(group: pa.Table) -> pa.Table:
@@ -282,41 +285,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
         reps = group.column("rep")
         return pa.table({"a": reps.take(pa.array(a, pa.int64())), "b": reps.take(pa.array(b, pa.int64()))})
 
-    every = staged(rows.mapInArrow(sets, f"key {kind}, content binary, n int, set binary"))
-    signed, sized = every.select("key", "content"), every.select(F.col("key").alias("rep"), "set")
-    first = cut(signed.groupBy("content").agg(F.min("key").alias("rep")))
-    keys = staged(sized.join(first.select("rep"), "rep", "left_semi").mapInArrow(prefixes, f"token int, rep {kind}"))
-    shared = keys.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1").select("token", "head")
-    keyed = staged(keys.join(shared, "token").select("token", "rep", F.col("rep").alias("component"), "head", F.col("head").alias("other")))
-    found, label = [], None
-    for turn in range(TURNS):
-        found.append(verified(keyed.where("component != other").select(F.col("rep").alias("a"), F.col("head").alias("b"))))
-        label = cut(components(reduce(DataFrame.union, found)).withColumnRenamed("node", "rep"))
-        now = keyed.select("token", "rep").join(label, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-        head = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("tie"), "rep", "component"))
-        several = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), head.alias("one")).where("low != high")
-        keyed = staged(now.join(several, "token").select("token", "rep", "component", F.col("one.rep").alias("head"), F.col("one.component").alias("other")))
-        if keyed.isEmpty():
-            break
-    else:
-        found += _rest(keyed, label, sized, kind, verified, meet)
+    spark = docs.sparkSession
+    every = cut(rows.mapInArrow(sets, f"key {kind}, content binary, set binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key"))
+    sized = every.select(F.col("key").alias("rep"), "set")
+    first = cut(every.groupBy("content").agg(F.min("key").alias("rep")))
+    keys = staged(sized.join(first.select("rep"), "rep", "left_semi").mapInArrow(prefixes, f"token int, pos int, n int, rep {kind}"))
+    shared = keys.groupBy("token").agg(F.count("*").alias("times"), F.min(F.struct("pos", "rep", "n")).alias("head")).where("times > 1").select("token", "head")
+    keyed = staged(keys.join(shared, "token").select("token", "pos", "n", "rep", "head"))
+    least = similarity / (1 + similarity)
+    near = keyed.where("rep != head.rep").where(_may_meet(F.col("pos"), F.col("n"), F.col("head.pos"), F.col("head.n"), least))
+    found = [verified(near.select(F.col("rep").alias("a"), F.col("head.rep").alias("b")))]
+    label = cut(components(found[0]).withColumnRenamed("node", "rep"))
+    now = keyed.select("token", "pos", "n", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
+    left = staged(now.join(several, "token"))
+    if not left.isEmpty():
+        found += _rest(left, label, sized, kind, least, verified, meet)
         label = cut(components(reduce(DataFrame.union, found)).withColumnRenamed("node", "rep"))
     of = first.join(label, "rep", "left").select("content", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(of, "content").select(F.col("key").alias(id_col), "component_id")
+    return every.select("key", "content").join(of, "content").select(F.col("key").alias(id_col), "component_id")
+
+
+def _may_meet(pos: Column, n: Column, other_pos: Column, other_n: Column, least: float) -> Column:
+    """Whether two sets whose first shared shingle stands at these places can have ``least`` of their sizes in common."""
+    return F.least(n - pos, other_n - other_pos) >= F.lit(least) * (n + other_n) - F.lit(1e-6)
 
 
-def _rest(keyed: DataFrame, label: DataFrame, sized: DataFrame, kind: str, verified: Callable[[DataFrame], DataFrame], meet: Callable[[pa.Table], pa.Table]) -> list[DataFrame]:
+def _rest(left: DataFrame, label: DataFrame, sized: DataFrame, kind: str, least: float, verified: Callable[[DataFrame], DataFrame], meet: Callable[[pa.Table], pa.Table]) -> list[DataFrame]:
     """The links ``a, b`` between components that share a token, as far as it takes to join them."""
     members = label.select("component", F.col("rep").alias("member"))
-    n_of = members.groupBy("component").agg(F.count("*").alias("n"))
-    known = staged(keyed.select("token", "rep", "component").join(n_of, "component", "left").select("token", "rep", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "component").alias("own")))
-    others = known.select("token", F.col("own").alias("larger")).distinct()
-    items = cut(known.join(others, "token").where("own < larger").select("rep", F.col("larger.component").alias("component"), F.col("larger.n").alias("n")).distinct())
-    single = items.where("n = 1").select(F.col("rep").alias("a"), F.col("component").alias("b"))
-    few = items.where(F.col("n").between(2, SMALL)).join(members, "component").select(F.col("rep").alias("a"), F.col("member").alias("b"))
+    n_of = members.groupBy("component").agg(F.count("*").alias("many"))
+    known = staged(left.join(n_of, "component", "left").select("token", "pos", "n", "rep", F.struct(F.coalesce("many", F.lit(1)).alias("many"), "component").alias("own")))
+    rest = F.col("n") - F.col("pos")
+    others = known.groupBy("token", F.col("own").alias("larger")).agg(F.min("n").alias("n_low"), F.max(rest - F.lit(least) * F.col("n")).alias("room"))
+    can = (F.col("room") >= F.lit(least) * F.col("n") - F.lit(1e-6)) & (rest >= F.lit(least) * (F.col("n") + F.col("n_low")) - F.lit(1e-6))
+    pairs = known.alias("k").join(others.alias("o"), (F.col("k.token") == F.col("o.token")) & (F.col("own") < F.col("larger")) & can)
+    items = cut(pairs.select("rep", F.col("larger.component").alias("component"), F.col("larger.many").alias("many")).distinct())
+    single = items.where("many = 1").select(F.col("rep").alias("a"), F.col("component").alias("b"))
+    few = items.where(F.col("many").between(2, SMALL)).join(members, "component").select(F.col("rep").alias("a"), F.col("member").alias("b"))
     out = [verified(single.union(few))]
-    many = items.where(F.col("n") > SMALL)
-    parts = cut(many.groupBy("component", "n").agg(F.count("*").alias("asked")).select("component", F.ceil(F.col("n") / SHARD).alias("parts"), F.ceil(F.col("asked") / SHARD).alias("chunks")))
+    many = items.where(F.col("many") > SMALL)
+    parts = cut(many.groupBy("component", "many").agg(F.count("*").alias("asked")).select("component", F.ceil(F.col("many") / SHARD).alias("parts"), F.ceil(F.col("asked") / SHARD).alias("chunks")))
     if parts.isEmpty():
         return out
 
