@@ -7,7 +7,7 @@ vector of window sums; the two with the widest spread are merged, the largest su
 other, until one is left. If a window is over capacity, the run is split anew into one more window.
 
 Defined results: a null or empty text has the end id alone. Repeated rows are packed each for itself. Very long texts
-are many whole windows and one rest. An empty table gives no rows. Other columns are not read. Only pieces' numbers are
+are many whole windows and one rest. Rows with null ids are dealt by their ids' checksums. An empty table gives no rows. Other columns are not read. Only pieces' numbers are
 shuffled, never ids or texts.
 """
 
@@ -152,7 +152,7 @@ def pack(
 
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     pieces = rows.mapInArrow(tokenise, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long")
-    dealt = pieces.repartition("key", "start").sortWithinPartitions("key", "start", "length", "ids_crc32")
+    dealt = pieces.repartition("key", "start", "ids_crc32").sortWithinPartitions("key", "start", "length", "ids_crc32")
     packed = dealt.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(
         windows, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

@@ -6,7 +6,8 @@ order is cut at equal targets of bytes. A run of equal texts that reaches over a
 for up to ``TOGETHER`` of a shard's target; a longer run is split, since shards must stay balanced.
 
 Defined results: a null text has size 1 and the checksum of no bytes, as an empty text has. Null ids come first within
-their text. Repeated rows are kept, each with a slot of its own. An empty table gives no rows. Other columns are not
+their text; of rows that are equal in both, the place in the input decides, so that many of them are many ranges.
+Repeated rows are kept, each with a slot of its own. An empty table gives no rows. Other columns are not
 read. Only fixed-size digests are shuffled, never texts.
 """
 
@@ -33,9 +34,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("crc"),
         F.xxhash64(text).alias("hash"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    ordered = rows.repartitionByRange("hash", "crc", "size", F.col("key").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions("hash", "crc", "size", F.col("key").asc_nulls_first())
+    order = ["hash", "crc", "size", F.col("key").asc_nulls_first(), "place"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered = cut(ordered.withColumn("part", F.spark_partition_id()))
     text_key = F.struct("hash", "crc", "size")
     totals = ordered.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min(text_key).alias("first"), F.max(text_key).alias("last"))

@@ -18,6 +18,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -349,6 +350,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int
     if unclear.isEmpty():
         kept = near_duplicates(docs, width, similarity, seed, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
         return docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
-    kept = near_duplicates(rows, width, similarity, seed, "__row", text_col).where("__row = component_id").select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    row = f"row_{uuid.uuid4().hex}"  # no input has a column of that name
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    kept = near_duplicates(rows, width, similarity, seed, row, text_col).where(F.col(row) == F.col("component_id")).select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

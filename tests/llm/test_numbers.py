@@ -145,6 +145,14 @@ def test_packing(odd, docs, empty):
     assert packing.pack(empty, TOK, RANKS, P.PATTERN).count() == 0
 
 
+def test_ids_are_the_tokenizers(docs, odd):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(TOK)
+    for text in [r["text"] or "" for table in (docs.limit(60), odd) for r in table.collect()]:
+        assert packing.token_ids(text, TOK, RANKS, P.PATTERN).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 def test_special_strings_go_through_the_tokenizer():
     assert 50256 in packing.token_ids("a <|endoftext|> b", TOK, RANKS, P.PATTERN)
 
@@ -158,3 +166,24 @@ def test_sharding(odd, docs, empty):
     loads, longest = got.groupby("shard")["size"].sum(), got["size"].max()
     assert loads.max() - loads.min() <= 2 * longest
     assert sharding.shard_by_bytes(empty, 4).count() == 0
+
+
+def test_sharding_by_a_plain_version(spark):
+    """Checksums, sizes, slots without gaps, and equal texts together unless their run is long."""
+    rng = np.random.default_rng(2)
+    texts = [("copy %d " % (k % 40)) * 9 if k % 3 else None if k % 51 == 0 else "own %d " % k * int(rng.integers(1, 60)) for k in range(3000)]
+    rows = spark.createDataFrame([(None if k % 7 == 0 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = sharding.shard_by_bytes(rows, 8).toPandas()
+    assert Counter(zip(got["size"], got["text_crc32"], strict=True)) == Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in texts)
+    assert all(sorted(part) == list(range(len(part))) for _, part in got.groupby("shard").slot)
+    loads = got.groupby("shard")["size"].sum()
+    mean, crossing = loads.sum() / 8, (got.groupby("text_crc32").shard.nunique() > 1).sum()
+    assert loads.max() - loads.min() <= 2 * (mean / 512 + got["size"].max()) and crossing <= 7
+
+
+def test_many_equal_rows_without_ids(spark):
+    rows = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one and the same text' AS text").repartition(4)
+    got = sharding.shard_by_bytes(rows, 4).toPandas()
+    assert got.groupby("shard").size().tolist() == [1000] * 4 and all(sorted(x) == list(range(1000)) for _, x in got.groupby("shard").slot)
+    pieces = packing.pack(rows, TOK, RANKS, P.PATTERN).toPandas()
+    assert len(pieces) == 4000 and pieces.groupby("sequence_id").length.sum().max() <= 2048
