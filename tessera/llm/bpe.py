@@ -6,15 +6,17 @@ pairs in a hash table, merges its leftmost pair of least rank, and moves what fo
 without a pair that can merge leave the matrix. Pieces repeat a lot, so a worker keeps what it has encoded, up to a
 bound, and forgets all of it when the bound is reached.
 
-Defined results: null and empty texts have no ids. Rows are independent, so repeated rows, ties and very long texts
-need no rule; one piece longer than ``WIDE`` bytes is encoded in a matrix of its own with the same rounds. Other
-columns of the input are not read.
+Defined results: null and empty texts have no ids. Rows are independent, so repeated rows and ties need no rule. A
+round moves the rest of its row, so a piece of more than ``WIDE`` bytes (letters without any break) would cost the
+square of its length: it is a row of its own, held as a linked list, with its pairs in a heap by rank and place, which
+merges in the same order. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -124,6 +126,32 @@ class Vocabulary:
             out[active], out[active, : ids.shape[1]] = -1, ids
         return out, out_lengths
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """What ``merge`` makes of one row, in time that grows as its length times the logarithm of that."""
+        if not hasattr(self, "joined"):
+            used = self.keys >= 0
+            self.joined = dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+        n, symbol, joined = len(ids), ids.tolist(), self.joined
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = self.rank(ids[:-1], ids[1:])
+        at = np.flatnonzero(ranks != NONE)
+        heap = list(zip(ranks[at].tolist(), at.tolist(), ids[at].tolist(), ids[at + 1].tolist(), strict=True))
+        heapq.heapify(heap)
+        while heap:
+            rank, k, left, right = heapq.heappop(heap)
+            other = after[k]
+            if symbol[k] != left or other >= n or symbol[other] != right:
+                continue  # one of the two is merged by now
+            symbol[k], symbol[other] = rank, -1
+            after[k] = following = after[other]
+            if following < n:
+                before[following] = k
+                if (new := joined.get(rank << 32 | symbol[following])) is not None:
+                    heapq.heappush(heap, (new, k, rank, symbol[following]))
+            if (previous := before[k]) >= 0 and (new := joined.get(symbol[previous] << 32 | rank)) is not None:
+                heapq.heappush(heap, (new, previous, symbol[previous], rank))
+        return np.array([s for s in symbol if s >= 0], np.int32)
+
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that the worker hasn't met."""
         raw = [p.encode() for p in pieces]
@@ -135,7 +163,13 @@ class Vocabulary:
         pools, sizes, begin = [self.pool], [self.size], 0
         while begin < len(order):
             width = int(sorted_lengths[begin])
-            top = max(4, 1 << (width - 1).bit_length()) if width <= WIDE else width
+            if width > WIDE:
+                k = order[begin]
+                pools.append(self.merge_long(self.of_byte[data[starts[k] : starts[k] + width]]))
+                sizes.append(np.array([len(pools[-1])]))
+                begin += 1
+                continue
+            top = max(4, 1 << (width - 1).bit_length())
             end = int(np.searchsorted(sorted_lengths, top, side="right"))
             end = min(end, begin + max(1, (1 << 19) // top))
             rows, n = order[begin:end], sorted_lengths[begin:end]

@@ -30,6 +30,8 @@ from tessera.llm.common import column
 
 #: Hashes in a signature; an odd multiplier whose powers, and their inverses, hash runs of a text modulo 2**64.
 SIZE, BASE = 128, 0x5851F42D4C957F2D
+#: Characters of text in a range of ids.
+RANGE = 8 << 20
 _INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -133,15 +135,17 @@ def fingerprint_edited(text: str, tail: str) -> tuple[np.ndarray, np.ndarray]:
     return signature(np.concatenate([alike, run_hashes(after, whole)])), signature(np.concatenate([alike, run_hashes(edited, rest)]))
 
 
-def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents in ranges of ids, each range with the first of the range below as its last row (``ghost``).
+def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The documents in ranges of ids (``part``, from -1 for null ids) and how many ranges there may be, each range with the first of the range below as its last row (``ghost``).
 
-    Ranges are cut at quantiles of the ids, which are numbers; ids alone are read for that. What comes to the driver is a
-    row for each range.
+    Ranges are cut at quantiles of the ids, which are numbers; ids and lengths alone are read for that. There is a range
+    for every ``RANGE`` characters of text, so that no task's share grows with the table, and each range is a partition.
+    What comes to the driver is a row for each range.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = max(1, -(-held // RANGE))
     cuts = docs.select(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []
     cuts = np.array(sorted(set(cuts)))
 
@@ -156,12 +160,12 @@ def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = sorted(tops, reverse=True)  # descending ids
     above = {b: a for a, b in zip(parts, parts[1:] + parts[:1], strict=True)}
     if not parts:
-        return rows.withColumn("ghost", F.lit(False))
+        return rows.withColumn("ghost", F.lit(False)), 1
     small = spark.createDataFrame([(b, tops[b], above[b]) for b in parts], f"part int, top {rows.schema['key'].dataType.simpleString()}, above int")
     heads = rows.join(F.broadcast(small), "part").where(F.col("key").eqNullSafe(F.col("top")))
     heads = heads.groupBy("above").agg(F.max_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     ghosts = heads.select(F.lit(None).cast(rows.schema["key"].dataType).alias("key"), "text", F.col("above").alias("part"), F.lit(True).alias("ghost"))
-    return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
+    return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts), len(cuts) + 2
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,9 +209,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if out:
             yield give()
 
-    rows = _neighbours(docs, id_col, text_col)
+    rows, parts = _neighbours(docs, id_col, text_col)
     kind = rows.schema["key"].dataType.simpleString()
-    dealt = rows.repartition("part").sortWithinPartitions("part", "ghost", F.col("key").desc_nulls_last(), F.xxhash64("text").desc(), F.col("text").desc())
+    dealt = rows.repartitionById(parts, F.col("part") + 1).sortWithinPartitions("part", "ghost", F.col("key").desc_nulls_last(), F.xxhash64("text").desc(), F.col("text").desc())
     out = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(run, out).withColumnRenamed("key", id_col)
 

@@ -17,7 +17,7 @@
    the parts. What is crowded still is cut into parts of 6, then of 1, where a part is a window and counting decides.
 
 Defined results: null and empty texts have no bytes, so nothing is removed; texts of fewer than ``WINDOW`` bytes lose
-nothing. Repeated rows are documents that repeat each other. Null ids are rows like others. Empty tables give no rows.
+nothing. Repeated rows are documents that repeat each other. Bytes count as equal where two 64-bit hashes of them are. Null ids are rows like others. Empty tables give no rows.
 Other columns are not read.
 """
 
@@ -198,7 +198,7 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``key, tie, first, count``: runs of windows that repeat, of documents ``key, tie, text``."""
+    """``key, tie, first, count``: runs of windows that repeat, of documents ``key, tie, text, place``."""
     kind = docs.schema["key"].dataType.simpleString()
     listed = staged(_listed(docs))
     inside = listed.where("anchor IS NULL").select("key", "tie", "first", "count")
@@ -212,8 +212,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # One member of each distinct span whose anchor has others, with the bytes from its document.
     mixed = members.where("contents > 1").groupBy("anchor", "content", "contents", "times").agg(F.min(F.struct(F.col("key").isNull(), "key", "tie", "first", "count")).alias("one"))
     wanted = mixed.select(F.col("one.key").alias("key"), F.col("one.tie").alias("tie"), F.struct("anchor", "contents", "times", F.col("one.first").alias("first"), F.col("one.count").alias("count")).alias("span"))
-    wanted = wanted.groupBy("key", "tie").agg(F.collect_list("span").alias("spans"))
-    found = _with(docs, wanted, "spans", "inner")
+    wanted = wanted.groupBy("key", "tie").agg(F.collect_set("span").alias("spans"))
+    equal = staged(docs.groupBy("key", "tie").agg(F.count("*").alias("rows"), F.min("place").alias("place")).where("rows > 1").drop("rows"))
+    found = _with(docs, _with_place(wanted, equal), "spans", "inner")
 
     def fetch(crowded: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,18 +335,27 @@ def _collected(rows: DataFrame, kind: str) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(collections, f"key {kind}, tie long, first int, count int")
 
 
+def _with_place(lists: DataFrame, equal: DataFrame) -> DataFrame:
+    """The lists with the place of the one row that is to have each, where several rows have its key and tie."""
+    equal = equal.select(F.col("key").alias("key_e"), F.col("tie").alias("tie_e"), F.col("place").alias("place_of"))
+    return lists.join(equal, (F.col("tie") == F.col("tie_e")) & F.col("key").eqNullSafe(F.col("key_e")), "left").drop("key_e", "tie_e")
+
+
 def _with(docs: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
-    """Documents ``key, tie, text`` with the list of their key and tie."""
-    lists = lists.withColumnsRenamed({"key": "__key", "tie": "__tie"})
-    return docs.join(lists, (docs["tie"] == lists["__tie"]) & docs["key"].eqNullSafe(lists["__key"]), how).select("key", "tie", "text", name)
+    """Documents ``key, tie, text, place`` with the list of their key and tie (and place, if the list has one)."""
+    own = (F.col("tie") == F.col("tie_of")) & F.col("key").eqNullSafe(F.col("key_of"))
+    if "place_of" in lists.columns:
+        own &= F.col("place_of").isNull() | (F.col("place_of") == F.col("place"))
+    return docs.join(lists.withColumnsRenamed({"key": "key_of", "tie": "tie_of"}), own, how).select("key", "tie", "text", name)
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256, removed``: what is left of each text; ``removed`` has the
     begins and ends, in bytes of the text as it was, of the maximal runs that went."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    flags = repeated_windows(rows).groupBy("key", "tie").agg(F.collect_list(F.struct("first", "count")).alias("windows"))
+    rows = docs.select(F.col(id_col).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"), F.monotonically_increasing_id().alias("place"))
+    # Rows of equal id and text tell of the same runs; a set holds as many as one document has, however many rows there are.
+    flags = repeated_windows(rows).groupBy("key", "tie").agg(F.collect_set(F.struct("first", "count")).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):

@@ -245,6 +245,16 @@ def test_repeated_bytes(docs, odd, empty, monkeypatch, crowd):
     assert suffix.remove_repeated(empty).count() == 0
 
 
+def test_repeated_rows_cost_no_more_than_their_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    text = " ".join(prose(rng, 150))
+    rows = spark.createDataFrame([(1, text)] * 2000 + [(2, text[:700] + "x" * 300), (3, "an own text " * 2)], "doc_id long, text string").repartition(4)
+    sizes, deal = [], suffix._collected
+    monkeypatch.setattr(suffix, "_collected", lambda rows, kind: sizes.append(rows.count()) or deal(rows, kind))
+    got = Counter((r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeated(rows).collect())
+    assert got == {(1, len(text), 1): 2000, (2, 1000, 1): 1, (3, 0, 0): 1} and max(sizes) < 50
+
+
 def test_collection():
     rng = np.random.default_rng(3)
     base = [bytes(rng.choice(list(b"abc "), 600).tolist()) for _ in range(3)]
