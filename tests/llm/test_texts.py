@@ -343,6 +343,49 @@ def test_surrogates(spark, odd, empty):
     assert pii.replace_pii(odd).count() == odd.count() and pii.replace_pii(empty).count() == 0
 
 
+def test_names_in_all_their_mentions(spark):
+    texts = ["Mrs. Anna Schmidt came. Mrs. Schmidt said so. Anna Schmidt left, and Anna wrote; Schmidt did not.", "Dr. Miller met Mr. Miller and Maria Lopez.", "Herr Schmidt und Frau Schmidt-Lang", "Господин Иванов? господин Иванов и госпожа Иванова", "No names here, said Nobody."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    got = [r["text"] for r in pii.replace_pii(rows, "a key").orderBy("n").collect()]
+    given, family = re.match(r"Mrs\. (\w+) (\w+) came", got[0]).groups()
+    assert got[0] == f"Mrs. {given} {family} came. Mrs. {family} said so. {given} {family} left, and {given} wrote; {family} did not."
+    assert given in pii._GIVEN["f", "latin"] and family != "Schmidt" and "Anna" not in got[0]
+    one, two = re.match(r"Dr\. (\w+) met Mr\. (\w+) and \w+ \w+\.", got[1]).groups()
+    assert one == two != "Miller" and "Lopez" not in got[1] and got[2].startswith(f"Herr {family} und Frau ")
+    stem = re.search(r"господин (\w+) и госпожа (\w+)а$", got[3])
+    assert stem[1] == stem[2] and "Иванов" not in got[3] and got[4] == texts[4]
+    again = [r["text"] for r in pii.replace_pii(rows, "another key").orderBy("n").collect()]
+    assert again[0] != got[0] and pii.replace_pii(rows).count() == 5
+
+
+def test_given_names_stay_distinct(spark):
+    names = [f"{a}{b}" for a in ("Ka", "Lo", "Mi", "Nu", "Pe") for b in ("ba", "dor", "fin", "gul", "hem", "jas", "kor")]
+    texts = [f"Mrs. {n} Weber and Mr. {n}s Weber" for n in names]
+    got = [r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "n long, text string"), "k").orderBy("n").collect()]
+    found = [m for t in got for m in re.match(r"Mrs\. (\w+) (\w+) and Mr\. (\w+) \2$", t).group(1, 3)]
+    assert len(set(found)) == 2 * len(names) and len({t.split()[2] for t in got}) == 1
+
+
+def test_accounts_have_check_digits(spark):
+    def valid(account):
+        turned = account[4:] + account[:4]
+        return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+    good = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"]
+    rows = spark.createDataFrame([(k, f"pay {a} now") for k, a in enumerate([*good, "DE88 3704 0044 0532 0130 00"])], "n long, text string")
+    got = [r["text"][4:-4] for r in pii.replace_pii(rows, "k").orderBy("n").collect()]
+    for old, new in zip(good, got, strict=False):
+        assert new != old and valid(new.replace(" ", "")) and re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", new)) == re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", old)) and new[:2] == old[:2]
+    assert got[3] == "DE88 3704 0044 0532 0130 00"
+
+
+def test_very_long_entities(spark):
+    texts = ["a@" + "b." * 500_000 + "c", "Mr. Aa" + "-Aa" * 50_000, "x" * 10**6 + "@y.z", "1.2.3." * 50_000, "Mr. " * 50_000, "DE12" + " ABCD" * 20_000, "password=" + "q" * 10**6, "+1 " * 50_000, "(12) " * 50_000]
+    rows = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "n long, text string, __attempts int, __tie string")
+    got = pii.replace_pii(rows, "k")
+    assert got.columns == rows.columns and len(got.collect()) == len(texts)
+
+
 def test_surrogates_of_neighbours(spark):
     phone, others = "+1 (826) 555-4081", ["190.137.223.204", "4111 1111 1111 1111", "4111111111111111", "123-45-6789", "843-555-7672", "a.b@mail.example.com", "+1 (843) 555-7672"]
     texts = [f"call {phone} now"] + [f"call {phone} {o} now" for o in others] + [f"call {o} {phone} now" for o in others] + [f"{o} alone" for o in others]
