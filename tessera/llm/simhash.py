@@ -182,14 +182,24 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42, id
 
 #: Documents in one part of a comparison; components up to which size it goes pair by pair.
 SHARD, SMALL = 400, 16
-#: Slots in which the shingles of about ``SAMPLE`` documents are counted: a table of fixed size.
-SLOTS, SAMPLE = 1 << 18, 20_000
+#: Slots in which the shingles of about ``SAMPLE`` documents are counted: a table of fixed size. Shingles of
+#: slots with more than ``HOT`` of them are met without dealing their documents to one task. The most nodes to broadcast.
+SLOTS, SAMPLE, HOT, BROADCAST = 1 << 18, 20_000, 0.01, 1 << 20
 
 
 def _set(text: str | None, width: int, seed: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width, seed), np.uint64).astype(np.uint32))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending numbers by their differences, first all low bytes, last all high ones, which compress."""
+    return np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+
+
 def _frequencies(docs: DataFrame, n: int, width: int, seed: int) -> np.ndarray:
     """How often shingles of each slot stand in a sample of the texts."""
 
@@ -223,54 +233,88 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, component_id``: documents linked, over any number of steps, by shingle sets of at least ``similarity``.
 
-    Ids must be distinct. Documents with equal sets are one representative. All sets are put in one order, rare shingles
-    first; two that are alike share one of the first shingles of each (``prefix``), and of the first that they share, so
-    many stand at or after it in both sets as they must have in common (``_may_meet``). First, the representatives that
-    have a shingle are held against the one in which the fewest rarer shingles stand before it: a text has none of what
-    its edited copies add, so that is where they come from. What is found alike is joined to components; a shingle whose
-    representatives are in one component is done. What is left is compared in full: for every two components that may
+    Ids must be distinct. Documents with equal sets are one node, named by a 64-bit hash of the set. All sets are put in
+    one order, rare shingles first; two that are alike share one of the first shingles of each (``prefix``), and of the
+    first that they share, so many stand at or after it in both sets as they must have in common (``_may_meet``). First,
+    the nodes that have a shingle are held against the one in which the fewest rarer shingles stand before it: a text has
+    none of what its edited copies add, so that is where they come from. What is found alike is joined to components; a
+    shingle whose nodes are in one component is done. What is left is compared in full: for every two components that may
     meet at a shingle, those of the smaller one that have it meet every member of the larger, pair by pair or in parts
     of about ``SHARD`` documents. So no pair is lost, and no task holds a whole crowd.
 
-    Sets are dealt by id once and stay there; what moves is pairs, and the sets of those in a pair.
+    Sets are written once; what moves is the first shingles, pairs, and the sets of nodes in a pair.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    often = _frequencies(rows, rows.count(), width, seed)
+    n_docs = rows.count()
+    often = _frequencies(rows, n_docs, width, seed)
+    crowd = max(20, HOT * min(n_docs, SAMPLE), 4 * float(often.mean()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             found = [_set(t, width, seed) for t in column(batch, "text").to_pylist()]
-            packed = [x[np.argsort(often[x % SLOTS], kind="stable")].tobytes() for x in found]
-            content = [xxhash.xxh3_128_digest(x) for x in packed]
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(content, pa.binary()), pa.array(packed, pa.binary())], ["key", "content", "set"])
+            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(node), pa.array([_packed(x) for x in found], pa.binary())], ["key", "node", "set"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "set", SLICE):
-            found = [np.frombuffer(x, np.uint32) for x in column(batch, "set").to_pylist()]
+            found = [_unpacked(x) for x in column(batch, "set").to_pylist()]
             size = np.array([len(x) for x in found], np.int64)
-            found = [x[: prefix(len(x), similarity)] for x in found]
+            found = [x[np.argsort(often[x % SLOTS], kind="stable")[: prefix(len(x), similarity)]] for x in found]
             many = np.array([len(x) for x in found], np.int64)
-            own = np.repeat(np.arange(len(found)), many)
+            own, token = np.repeat(np.arange(len(found)), many), np.concatenate(found)
             numbers = [pa.array(x.astype(np.int32)) for x in (ramp(many), size[own])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int32)), *numbers, column(batch, "rep").take(pa.array(own))], ["token", "pos", "n", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int32)), *numbers, column(batch, "node").take(pa.array(own)), pa.array(often[token % SLOTS] >= crowd)], ["token", "pos", "n", "node", "hot"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by token, pos and node: those of tokens that several nodes have, once each, with the first node's.
+
+        A token's rows pass by; only the first is kept.
+        """
+        head, last, given = None, 0, False  # of the last token so far: its first row, its latest node, and whether it was given
+        for batch in batches:
+            if not len(batch):
+                continue
+            goes_on = head is not None and head[0] == column(batch, "token")[0].as_py()
+            token, pos, n, node = (np.concatenate([np.array([head[k]] if goes_on else [], np.int64), column(batch, c).to_numpy().astype(np.int64)]) for k, c in enumerate(("token", "pos", "n", "node")))
+            new = np.append(True, token[1:] != token[:-1])
+            fresh = new | np.append(True, node[1:] != node[:-1])
+            if goes_on:
+                fresh[1] = new[1] or node[1] != last
+            run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            several = np.bincount(run[fresh]) > 1
+            several[0] |= goes_on and given
+            keep = fresh & several[run]
+            keep[0] &= not (goes_on and given)
+            keep = np.flatnonzero(keep)
+            at = first[run[keep]]
+            head, last, given = (token[first[-1]], pos[first[-1]], n[first[-1]], node[first[-1]]), node[-1], bool(several[-1])
+            arrays = [pa.array(x.astype(t)) for x, t in zip((token[keep], pos[keep], n[keep], node[keep], pos[at], n[at], node[at]), (np.int32, np.int32, np.int32, np.int64, np.int32, np.int32, np.int64), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["token", "pos", "n", "node", "head_pos", "head_n", "head"])
 
     def keep_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = ([np.frombuffer(s, np.uint32) for s in column(batch, c).to_pylist()] for c in ("set_a", "set_b"))
+            x, y = ([_unpacked(s) for s in column(batch, c).to_pylist()] for c in ("set_a", "set_b"))
             yield batch.filter(pa.array([_alike(p, q, similarity) for p, q in zip(x, y, strict=True)], pa.bool_())).select(["a", "b"])
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """``node, set`` of the distinct nodes given; the others' sets stay where they are if the nodes are few enough to tell."""
+        nodes = staged(nodes)
+        few = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
+        return every.select("node", "set").join(few, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs ``a, b``, in which many may have one ``b``, those that are alike."""
         pairs = staged(pairs.distinct())
-        asked = pairs.select("b").distinct().join(sized.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
-        pairs = pairs.join(sized.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(asked, "b")
-        return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(keep_alike, f"a {kind}, b {kind}"))
+        asking = sets_of(pairs.select(F.col("a").alias("node")).distinct()).withColumnsRenamed({"node": "a", "set": "set_a"})
+        asked = staged(sets_of(pairs.select(F.col("b").alias("node")).distinct())).withColumnsRenamed({"node": "b", "set": "set_b"})
+        pairs = pairs.join(asking, "a").join(asked, "b")
+        return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(keep_alike, "a long, b long"))
 
     def meet(group: pa.Table) -> pa.Table:
         """A link of every one that asks to one of the members in this part, if any is alike."""
         asks = np.array(group.column("asks").to_pylist(), bool)
-        own = [np.frombuffer(x, np.uint32) for x in group.column("set").to_pylist()]
+        own = [_unpacked(x) for x in group.column("set").to_pylist()]
         members, a, b = np.flatnonzero(~asks), [], []
         sizes = np.array([len(own[k]) for k in members], np.int64)
         if len(members):
@@ -283,28 +327,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
                 both = np.bincount(owner[np.repeat(begin, many) + ramp(many)], minlength=len(members))
                 if len(hit := np.flatnonzero(both >= similarity * (len(own[k]) + sizes - both))):
                     a.append(k), b.append(members[hit[0]])
-        reps = group.column("rep")
-        return pa.table({"a": reps.take(pa.array(a, pa.int64())), "b": reps.take(pa.array(b, pa.int64()))})
-
-    spark = docs.sparkSession
-    every = cut(rows.mapInArrow(sets, f"key {kind}, content binary, set binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key"))
-    sized = every.select(F.col("key").alias("rep"), "set")
-    first = cut(every.groupBy("content").agg(F.min("key").alias("rep")))
-    keys = staged(sized.join(first.select("rep"), "rep", "left_semi").mapInArrow(prefixes, f"token int, pos int, n int, rep {kind}"))
-    shared = keys.groupBy("token").agg(F.count("*").alias("times"), F.min(F.struct("pos", "rep", "n")).alias("head")).where("times > 1").select("token", "head")
-    keyed = staged(keys.join(shared, "token").select("token", "pos", "n", "rep", "head"))
+        nodes = group.column("node")
+        return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64()))})
+
+    every = staged(rows.mapInArrow(sets, f"key {kind}, node long, set binary"))
+    keys = staged(every.select("node", "set").mapInArrow(prefixes, "token int, pos int, n int, node long, hot boolean"))
+    hot = keys.where("hot").drop("hot").distinct()
+    heads = hot.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("one"), F.count("*").alias("nodes")).where("nodes > 1")
+    heads = staged(heads.select("token", F.col("one.pos").alias("head_pos"), F.col("one.n").alias("head_n"), F.col("one.node").alias("head")))
+    hot = hot.join(heads, "token").select("token", "pos", "n", "node", "head_pos", "head_n", "head")  # adaptive execution splits it at crowded shingles
+    cold = keys.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token", "pos", "node")
+    keyed = staged(hot.unionByName(cold.mapInArrow(met, "token int, pos int, n int, node long, head_pos int, head_n int, head long")))
     least = similarity / (1 + similarity)
-    near = keyed.where("rep != head.rep").where(_may_meet(F.col("pos"), F.col("n"), F.col("head.pos"), F.col("head.n"), least))
-    found = [verified(near.select(F.col("rep").alias("a"), F.col("head.rep").alias("b")))]
-    label = cut(components(found[0]).withColumnRenamed("node", "rep"))
-    now = keyed.select("token", "pos", "n", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    near = keyed.where("node != head").where(_may_meet(F.col("pos"), F.col("n"), F.col("head_pos"), F.col("head_n"), least))
+    found = [verified(near.select(F.col("node").alias("a"), F.col("head").alias("b")))]
+    label = cut(components(found[0]))
+    now = keyed.select("token", "pos", "n", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
     left = staged(now.join(several, "token"))
     if not left.isEmpty():
-        found += _rest(left, label, sized, kind, least, verified, meet)
-        label = cut(components(reduce(DataFrame.union, found)).withColumnRenamed("node", "rep"))
-    of = first.join(label, "rep", "left").select("content", F.coalesce("component", "rep").alias("component_id"))
-    return every.select("key", "content").join(of, "content").select(F.col("key").alias(id_col), "component_id")
+        found += _rest(left, label, sets_of, least, verified, meet)
+        label = cut(components(reduce(DataFrame.union, found)))
+    of = every.select("key", "node").join(label, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    named = of.groupBy("component").agg(F.min("key").alias("component_id"))
+    return of.join(staged(named), "component").select(F.col("key").alias(id_col), "component_id")
 
 
 def _may_meet(pos: Column, n: Column, other_pos: Column, other_n: Column, least: float) -> Column:
@@ -312,18 +358,18 @@ def _may_meet(pos: Column, n: Column, other_pos: Column, other_n: Column, least:
     return F.least(n - pos, other_n - other_pos) >= F.lit(least) * (n + other_n) - F.lit(1e-6)
 
 
-def _rest(left: DataFrame, label: DataFrame, sized: DataFrame, kind: str, least: float, verified: Callable[[DataFrame], DataFrame], meet: Callable[[pa.Table], pa.Table]) -> list[DataFrame]:
+def _rest(left: DataFrame, label: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float, verified: Callable[[DataFrame], DataFrame], meet: Callable[[pa.Table], pa.Table]) -> list[DataFrame]:
     """The links ``a, b`` between components that share a token, as far as it takes to join them."""
-    members = label.select("component", F.col("rep").alias("member"))
+    members = label.select("component", F.col("node").alias("member"))
     n_of = members.groupBy("component").agg(F.count("*").alias("many"))
-    known = staged(left.join(n_of, "component", "left").select("token", "pos", "n", "rep", F.struct(F.coalesce("many", F.lit(1)).alias("many"), "component").alias("own")))
+    known = staged(left.join(n_of, "component", "left").select("token", "pos", "n", "node", F.struct(F.coalesce("many", F.lit(1)).alias("many"), "component").alias("own")))
     rest = F.col("n") - F.col("pos")
     others = known.groupBy("token", F.col("own").alias("larger")).agg(F.min("n").alias("n_low"), F.max(rest - F.lit(least) * F.col("n")).alias("room"))
     can = (F.col("room") >= F.lit(least) * F.col("n") - F.lit(1e-6)) & (rest >= F.lit(least) * (F.col("n") + F.col("n_low")) - F.lit(1e-6))
     pairs = known.alias("k").join(others.alias("o"), (F.col("k.token") == F.col("o.token")) & (F.col("own") < F.col("larger")) & can)
-    items = cut(pairs.select("rep", F.col("larger.component").alias("component"), F.col("larger.many").alias("many")).distinct())
-    single = items.where("many = 1").select(F.col("rep").alias("a"), F.col("component").alias("b"))
-    few = items.where(F.col("many").between(2, SMALL)).join(members, "component").select(F.col("rep").alias("a"), F.col("member").alias("b"))
+    items = cut(pairs.select("node", F.col("larger.component").alias("component"), F.col("larger.many").alias("many")).distinct())
+    single = items.where("many = 1").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    few = items.where(F.col("many").between(2, SMALL)).join(members, "component").select(F.col("node").alias("a"), F.col("member").alias("b"))
     out = [verified(single.union(few))]
     many = items.where(F.col("many") > SMALL)
     parts = cut(many.groupBy("component", "many").agg(F.count("*").alias("asked")).select("component", F.ceil(F.col("many") / SHARD).alias("parts"), F.ceil(F.col("asked") / SHARD).alias("chunks")))
@@ -332,13 +378,14 @@ def _rest(left: DataFrame, label: DataFrame, sized: DataFrame, kind: str, least:
 
     def deal(rows: DataFrame, own: str, over: str, own_name: str, over_name: str) -> DataFrame:
         """Each row in a part of its own kind, and in all of the other kind."""
-        part = F.pmod(F.xxhash64("rep"), F.col(own)).alias(own_name)
-        return rows.join(parts, "component").select("component", "rep", "asks", part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(over) - 1)).alias(over_name))
-
-    asking = deal(many.select("component", "rep", F.lit(True).alias("asks")), "chunks", "parts", "chunk", "part")
-    asked = deal(members.select("component", F.col("member").alias("rep"), F.lit(False).alias("asks")), "parts", "chunks", "part", "chunk")
-    dealt = asking.unionByName(asked).join(sized, "rep").select("component", "part", "chunk", "rep", "asks", "set")
-    return [*out, cut(dealt.groupBy("component", "part", "chunk").applyInArrow(meet, f"a {kind}, b {kind}"))]
+        part = F.pmod(F.xxhash64("node"), F.col(own)).alias(own_name)
+        return rows.join(parts, "component").select("component", "node", "asks", part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(over) - 1)).alias(over_name))
+
+    asking = deal(many.select("component", "node", F.lit(True).alias("asks")), "chunks", "parts", "chunk", "part")
+    asked = deal(members.select("component", F.col("member").alias("node"), F.lit(False).alias("asks")), "parts", "chunks", "part", "chunk")
+    dealt = staged(asking.unionByName(asked))
+    dealt = dealt.join(sets_of(dealt.select("node").distinct()), "node").select("component", "part", "chunk", "node", "asks", "set")
+    return [*out, cut(dealt.groupBy("component", "part", "chunk").applyInArrow(meet, "a long, b long"))]
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
