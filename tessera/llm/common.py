@@ -29,12 +29,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoints-"))
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: like ``cut``, but smaller on disk and read by column."""
+def staged(df: DataFrame, until: list[tuple[str, DataFrame]] | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``cut``, but smaller on disk and read by column.
+
+    With ``until``, the table is put in that list for ``emptied``.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if until is not None:
+        until.append((path, table))
+    return table
+
+
+def emptied(tables: list[tuple[str, DataFrame]]) -> None:
+    """Give back the room of staged tables that nothing will read again, and forget them."""
+    for path, table in tables:
+        table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(path)
+    tables.clear()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, slices, staged
+from tessera.llm.common import column, emptied, slices, staged
 
 SLICE, SPLIT, MIN_WORDS = 1 << 20, 24, 5
 #: Blocks of the scripts that put no spaces between words (Thai to Khmer, Japanese, Chinese).
@@ -128,12 +128,15 @@ def removed_spans(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_
     before the shuffle too; units of digests that occur once are dropped by the join before anything is gathered.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"), F.col(text_col).cast("string").alias("text"))
-    listed = staged(_listed(rows, kind, min_words))
+    held: list[tuple[str, DataFrame]] = []
+    listed = staged(_listed(rows, kind, min_words), held)
     order = F.struct(F.col("key").isNull(), "key", "tie", "begin")
     firsts = listed.groupBy("high", "low").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     again = listed.join(staged(firsts), ["high", "low"]).where(~order.eqNullSafe(F.col("first"))).select("key", "tie", "begin", "end")
     spans = again.groupBy("key", "tie").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
-    return spans.withColumnRenamed("key", id_col)
+    spans = staged(spans.withColumnRenamed("key", id_col))
+    emptied(held)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

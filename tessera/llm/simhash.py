@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, cut, ramp, slices, staged
+from tessera.llm.common import column, cut, emptied, ramp, slices, staged
 from tessera.llm.components import components
 
 SLICE, CROWD = 1 << 20, 128
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by token, pos and node: those of tokens that several nodes have, once each, with the first node's.
 
-        A token's rows pass by; only the first is kept.
+        A token's rows pass by; only the first is kept. Rows that can be alike to none of the token's go.
         """
         head, last, given = None, 0, False  # of the last token so far: its first row, its latest node, and whether it was given
         for batch in batches:
@@ -288,6 +288,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
             keep[0] &= not (goes_on and given)
             keep = np.flatnonzero(keep)
             at = first[run[keep]]
+            can = pos[keep] + similarity * pos[at] <= (1 - similarity) * n[keep] + 1e-6  # else no set that has it, at such a place or later, can be alike
+            keep, at = keep[can], at[can]
             head, last, given = (token[first[-1]], pos[first[-1]], n[first[-1]], node[first[-1]]), node[-1], bool(several[-1])
             arrays = [pa.array(x.astype(t)) for x, t in zip((token[keep], pos[keep], n[keep], node[keep], pos[at], n[at], node[at]), (np.int32, np.int32, np.int32, np.int64, np.int32, np.int32, np.int64), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["token", "pos", "n", "node", "head_pos", "head_n", "head"])
@@ -330,27 +332,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
         nodes = group.column("node")
         return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64()))})
 
-    every = staged(rows.mapInArrow(sets, f"key {kind}, node long, set binary"))
-    keys = staged(every.select("node", "set").mapInArrow(prefixes, "token int, pos int, n int, node long, hot boolean"))
+    early: list[tuple[str, DataFrame]] = []
+    late: list[tuple[str, DataFrame]] = []
+    every = staged(rows.mapInArrow(sets, f"key {kind}, node long, set binary"), late)
+    keys = staged(every.select("node", "set").mapInArrow(prefixes, "token int, pos int, n int, node long, hot boolean"), early)
     hot = keys.where("hot").drop("hot").distinct()
     heads = hot.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("one"), F.count("*").alias("nodes")).where("nodes > 1")
     heads = staged(heads.select("token", F.col("one.pos").alias("head_pos"), F.col("one.n").alias("head_n"), F.col("one.node").alias("head")))
-    hot = hot.join(heads, "token").select("token", "pos", "n", "node", "head_pos", "head_n", "head")  # adaptive execution splits it at crowded shingles
+    hot = hot.join(heads, "token").where(F.col("pos") + similarity * F.col("head_pos") <= (1 - similarity) * F.col("n") + 1e-6).select("token", "pos", "n", "node", "head_pos", "head_n", "head")  # adaptive execution splits it at crowded shingles
     cold = keys.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token", "pos", "node")
-    keyed = staged(hot.unionByName(cold.mapInArrow(met, "token int, pos int, n int, node long, head_pos int, head_n int, head long")))
+    keyed = staged(hot.unionByName(cold.mapInArrow(met, "token int, pos int, n int, node long, head_pos int, head_n int, head long")), late)
+    emptied(early)
     least = similarity / (1 + similarity)
     near = keyed.where("node != head").where(_may_meet(F.col("pos"), F.col("n"), F.col("head_pos"), F.col("head_n"), least))
     found = [verified(near.select(F.col("node").alias("a"), F.col("head").alias("b")))]
     label = cut(components(found[0]))
-    now = keyed.select("token", "pos", "n", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = staged(keyed.select("token", "pos", "n", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), late)
     several = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
-    left = staged(now.join(several, "token"))
+    left = staged(now.join(several, "token"), late)
     if not left.isEmpty():
         found += _rest(left, label, sets_of, least, verified, meet)
         label = cut(components(reduce(DataFrame.union, found)))
     of = every.select("key", "node").join(label, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     named = of.groupBy("component").agg(F.min("key").alias("component_id"))
-    return of.join(staged(named), "component").select(F.col("key").alias(id_col), "component_id")
+    result = staged(of.join(staged(named), "component").select(F.col("key").alias(id_col), "component_id"))
+    emptied(late)
+    return result
 
 
 def _may_meet(pos: Column, n: Column, other_pos: Column, other_n: Column, least: float) -> Column:
