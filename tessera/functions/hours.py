@@ -148,3 +148,29 @@ def day_progress(minute: Column) -> Column:
 def fresh(fetched: Column, now: Column, seconds: int) -> Column:
     """True while less than ``seconds`` have passed since ``fetched``."""
     return F.coalesce(now.cast("timestamp").cast("long") - fetched.cast("timestamp").cast("long") < seconds, F.lit(False))
+
+
+def iso(at: Column) -> Column:
+    """A timestamp as ISO text in UTC, by the second; the session's zone is UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def ago(at: Column, now: Column) -> Column:
+    """How long before (``5 minutes ago``) or after (``in 2 days``) now, in the largest unit, rounded; months have 30 days."""
+    seconds = F.unix_seconds(now) - F.unix_seconds(at)
+    size = F.abs(seconds)
+    # From how many seconds on each unit is used, and its length.
+    units = [(31_536_000, 31_536_000, "year"), (2_592_000, 2_592_000, "month"), (86_400, 86_400, "day"), (3_600, 3_600, "hour"), (60, 60, "minute"), (0, 1, "second")]
+    text = F
+    for least, length, name in units:
+        n = F.round(size / length).cast("long")
+        text = text.when(size >= least, F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s")))
+    return F.when(seconds >= 0, F.concat(text, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), text))
+
+
+def freshness(tier: Column) -> Column:
+    """``struct<tone, promote, call_first>`` of a place's confidence tier; unknown tiers and null as ``unknown``."""
+    # Tones of the tiers.
+    tone = F.when(tier.isin("verified", "fresh"), "sage").when(tier.isin("likely", "recent"), "mustard").otherwise("stone")
+    sure = F.coalesce(tier.isin("verified", "fresh", "likely", "recent"), F.lit(False))
+    return F.struct(tone.alias("tone"), sure.alias("promote"), (~sure).alias("call_first"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.hours import iso
+
 # Ranks of alerts.
 SEVERITY = {"Extreme": 4, "Severe": 3, "Moderate": 2, "Minor": 1}
 LEVEL = {"warning": 3, "watch": 2, "advisory": 1, "statement": 0}
@@ -97,3 +99,42 @@ def cumulative(rows: DataFrame, tier: Column, tiers: list[str]) -> DataFrame:
 def last_rows(rows: DataFrame, order: str, n: int = 500) -> DataFrame:
     """The newest rows of a log: what a buffer of ``n`` keeps."""
     return rows.orderBy(F.desc(order)).limit(n)
+
+
+def transit_stats(places: DataFrame) -> DataFrame:
+    """A run's statistics in one row: places with coordinates, with a metro and a bus stop, and the per cent with either.
+
+    Needs place_lat, place_lon, has_metro, has_bus.
+    """
+    located = F.col("place_lat").isNotNull() & F.col("place_lon").isNotNull()
+    either = F.coalesce(F.col("has_metro") | F.col("has_bus"), F.lit(False))
+    return places.agg(
+        F.count("*").alias("total"), F.count_if(located).alias("with_geo"), F.count_if(~located).alias("no_geo"), F.count_if("has_metro").alias("metro"), F.count_if("has_bus").alias("bus"),
+        F.round(100 * F.count_if(located & either) / F.greatest(F.count_if(located), F.lit(1)), 0).cast("long").alias("percent"),
+    )
+
+
+def alert_stats(places: DataFrame) -> DataFrame:
+    """A run's statistics in one row: places, with coordinates, with an alert, with one that travellers feel, and calls."""
+    located = F.col("place_lat").isNotNull() & F.col("place_lon").isNotNull()
+    return places.agg(
+        F.count("*").alias("total"), F.count_if(located).alias("with_geo"), F.count_if(~located).alias("no_geo"), F.count("event").alias("alerts_found"),
+        F.count_if(F.coalesce(F.col("affects_travel"), F.lit(False))).alias("travel_alerts"), F.count_if(located & F.col("cached")).alias("cache_hits"), F.count_if(located & ~F.col("cached")).alias("api_calls"),
+    )
+
+
+def summary_json(summary: DataFrame, name: str) -> DataFrame:
+    """A summary's rows as one JSON document ``{name: [...]}``, in the order of its first column.
+
+    A summary has a row for each kind of event, so the document is small whatever the log's size.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(*summary.columns)))
+    return summary.agg(F.to_json(F.struct(rows.alias(name))).alias("document"))
+
+
+def produced(rows: DataFrame, kind: Column, at: Column, **fields: Column) -> DataFrame:
+    """Events as their producers write them: ``event, ts`` (ISO, UTC) and the fields of that kind, the others null.
+
+    ``fields``: the value of each nullable column, already null for kinds that don't have it.
+    """
+    return rows.select(kind.alias("event"), iso(at).alias("ts"), *[v.alias(n) for n, v in fields.items()])

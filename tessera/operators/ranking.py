@@ -47,7 +47,7 @@ def factors(places: DataFrame, person: Person) -> DataFrame:
 
     Needs place_lat, place_lon, state, requirements, languages, services, trust, tone.
     """
-    out = places.where(F.col("place_lat").isNotNull() & F.col("place_lon").isNotNull())
+    out = places.where(F.col("place_lat").isNotNull() & F.col("place_lon").isNotNull() & ~F.isnan("place_lat") & ~F.isnan("place_lon"))
     out = out.withColumn("distance_m", geo.haversine_m(F.lit(person.lat), F.lit(person.lon), F.col("place_lat"), F.col("place_lon")))
     friction = sum((F.when(F.array_contains("requirements", r), F.lit(w)).otherwise(0.0) for r, w in FRICTION.items()), F.lit(0.0))
     timing = F

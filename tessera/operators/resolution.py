@@ -37,6 +37,10 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+#: Classes of characters that are counted for a bound of the likeness: any would do.
+CLASSES = ["e", "a", "i", "o", "n", "r", "t", "s", "l", "cu", "dg", "mhb", "pky", "fvwjqxz", "0123456789", " "]
+
+
 @F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness 0 to 100 of two strings with their words sorted: twice the common subsequence over both lengths."""
@@ -51,10 +55,14 @@ def pairs(records: DataFrame, threshold: float = 80.0, name_threshold: float = 9
     """``a, b, rule`` with a < b: records of one non-empty zip that tell of the same place.
 
     ``records``: ord, zip, name, address, source, hours. Equal clean names match unless both have hours and share their
-    source; other names match by likeness alone, or by a lower likeness and an equal street number. Lengths that can't
-    reach the likeness are dropped before the pandas function sees them.
+    source; other names match by likeness alone, or by a lower likeness and an equal street number. Names whose
+    lengths, or whose characters counted in classes, can't reach the likeness are dropped before the pandas function sees
+    them: the common subsequence has at most the lesser count of each class.
     """
     keyed = records.where(has_text(F.col("zip"))).select("ord", "zip", "source", clean_name(F.col("name")).alias("name"), street_number(F.col("address")).alias("number"), has_text(F.col("hours")).alias("timed"))
+    name, counted = F.coalesce("name", F.lit("")), [f"of_{k}" for k in range(len(CLASSES))]
+    keyed = keyed.withColumns({c: F.length(name) - F.length(F.translate(name, chars, "")) for c, chars in zip(counted, CLASSES, strict=True)})
+    keyed = keyed.withColumn("others", F.length(name) - sum((F.col(c) for c in counted), F.lit(0)))
     left, right = (keyed.select(*[F.col(c).alias(f"{c}_{s}") if c != "zip" else F.col(c) for c in keyed.columns]) for s in "ab")
     both = left.join(right, "zip").where("ord_a < ord_b")
     same = F.col("name_a") == F.col("name_b")
@@ -64,7 +72,8 @@ def pairs(records: DataFrame, threshold: float = 80.0, name_threshold: float = 9
     street = F.coalesce(F.col("number_a") == F.col("number_b"), F.lit(False))
     least = F.when(street, min(threshold, name_threshold)).otherwise(name_threshold)
     sizes = F.length("name_a") + F.length("name_b")
-    near = both.where(~same & (200 * F.least(F.length("name_a"), F.length("name_b")) >= least * sizes))
+    common = sum((F.least(f"{c}_a", f"{c}_b") for c in [*counted, "others"]), F.lit(0))
+    near = both.where(~same & (200 * F.least(F.length("name_a"), F.length("name_b")) >= least * sizes) & (200 * common >= least * sizes))
     near = near.withColumn("ratio", token_sort_ratio("name_a", "name_b")).where(F.col("ratio") >= least)
     return exact.union(near.select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), F.when(F.col("ratio") >= name_threshold, "likeness").otherwise("street").alias("rule")))
 
@@ -100,7 +109,7 @@ def ranked(records: DataFrame, found: DataFrame) -> DataFrame:
 def merge(rows: DataFrame, scalars: list[str], sets: list[str], flags: list[str]) -> DataFrame:
     """One record for each group of ``ranked`` rows.
 
-    Scalars are the first that isn't blank in survivor order; sets are united in that order; requirements leave out what
+    ``guide`` is the survivor's alone, its first three steps, where the rows have one. Scalars are the first that isn't blank in survivor order; sets are united in that order; requirements leave out what
     an earlier tag excludes, the survivor's own kept as they are; flags hold if any record's does. Warnings tell of
     differing hours and of groups that ask for appointments and don't.
     """
@@ -117,6 +126,7 @@ def merge(rows: DataFrame, scalars: list[str], sets: list[str], flags: list[str]
         *[F.array_distinct(in_order(c)).alias(c) for c in sets],
         in_order("requirements").alias("__tags"),
         F.min_by("requirements", "place").alias("__own"),
+        *([F.slice(F.min_by("guide", "place"), 1, 3).alias("guide")] if "guide" in rows.columns else []),
         *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags],
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "source"))), lambda x: x["source"])).alias("source_ids"),
         F.count("*").alias("n_records"),
