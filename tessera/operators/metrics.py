@@ -48,6 +48,45 @@ def tiers_of(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
+# Events that are shown, their level, and whether they affect travel.
+RELEVANT_ALERTS = [
+    ("Tornado Warning", "warning", True),
+    ("Tornado Watch", "watch", True),
+    ("Flash Flood Warning", "warning", True),
+    ("Flash Flood Watch", "watch", True),
+    ("Flood Warning", "warning", True),
+    ("Flood Watch", "watch", False),
+    ("Severe Thunderstorm Warning", "warning", True),
+    ("Severe Thunderstorm Watch", "watch", True),
+    ("Winter Storm Warning", "warning", True),
+    ("Winter Storm Watch", "watch", True),
+    ("Blizzard Warning", "warning", True),
+    ("Ice Storm Warning", "warning", True),
+    ("Freezing Rain Advisory", "advisory", True),
+    ("Wind Chill Warning", "warning", True),
+    ("Wind Chill Advisory", "advisory", False),
+    ("Extreme Cold Warning", "warning", True),
+    ("Extreme Cold Watch", "watch", False),
+    ("Heat Advisory", "advisory", False),
+    ("Excessive Heat Warning", "warning", True),
+    ("Excessive Heat Watch", "watch", False),
+    ("Dense Fog Advisory", "advisory", True),
+    ("High Wind Warning", "warning", True),
+    ("High Wind Watch", "watch", True),
+    ("Wind Advisory", "advisory", False),
+    ("Tropical Storm Warning", "warning", True),
+    ("Hurricane Warning", "warning", True),
+    ("Hurricane Watch", "watch", True),
+    ("Special Weather Statement", "statement", False),
+    ("Air Quality Alert", "advisory", False),
+]
+
+
+def relevant_alerts(spark: SparkSession) -> DataFrame:
+    """``event, level, affects_travel`` of the events that are shown."""
+    return spark.createDataFrame(RELEVANT_ALERTS, "event string, level string, affects_travel boolean")
+
+
 def worst_alert(alerts: DataFrame, relevant: DataFrame, key: str) -> DataFrame:
     """The gravest alert of each key: by severity, then level; the first of equals. ``relevant``: event, level, affects_travel."""
     severity = F.create_map(*[F.lit(x) for p in SEVERITY.items() for x in p])

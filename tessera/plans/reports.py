@@ -118,8 +118,7 @@ def _alerts(spark, sf_dir):
     event = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("event_type")), F.lit("Sale"))
     severity = F.element_at(F.array(*map(F.lit, ["Extreme", "Severe", "Minor", "Odd"])), (F.floor("value") % 4 + 1).cast("int"))
     rows = events(spark, sf_dir).select((F.col("user_id") % 40).alias("cell"), F.col("event_id").alias("ord"), event.alias("event"), severity.alias("severity"))
-    relevant = spark.createDataFrame([("Tornado Warning", "warning", True), ("Flood Watch", "watch", False), ("Wind Advisory", "advisory", False), ("Special Weather Statement", "statement", False)], "event string, level string, affects_travel boolean")
-    return metrics.worst_alert(rows, relevant, "cell")
+    return metrics.worst_alert(rows, metrics.relevant_alerts(spark), "cell")
 
 
 @query(_ALERTS + "SELECT cell, event, severity, grade, ord, n_alerts, n_travel FROM ranked WHERE rn = 1")
@@ -133,6 +132,20 @@ def alert_for_place(spark, sf_dir):
     return metrics.alert_map(rows, _alerts(spark, sf_dir), "cell").select("place", F.get_json_object("alert", "$.event").alias("event"))
 
 
+_EVENTS = [e for e, _, _ in metrics.RELEVANT_ALERTS] + ["Beach Hazards Statement", "Red Flag Warning"]
+
+
+@query(
+    "WITH shown AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{v}', {str(t).lower()})" for e, v, t in metrics.RELEVANT_ALERTS) + ") AS v(event, level, affects_travel))\n"
+    f", told AS (SELECT event_id, ([{', '.join(repr(e) for e in _EVENTS)}])[event_id % {len(_EVENTS)} + 1] AS event FROM events)\n"
+    "SELECT event, level, affects_travel, count(*) AS n FROM told JOIN shown USING (event) GROUP BY ALL"
+)
+def alerts_shown(spark, sf_dir):
+    event = F.element_at(F.array(*map(F.lit, _EVENTS)), (F.col("event_id") % len(_EVENTS) + 1).cast("int"))
+    told = events(spark, sf_dir).select(event.alias("event"))
+    return told.join(F.broadcast(metrics.relevant_alerts(spark)), "event").groupBy("event", "level", "affects_travel").agg(F.count("*").alias("n"))  # 29 fixed rows
+
+
 _CODES = [(0, "Clear sky"), (3, "Partly cloudy"), (48, "Foggy"), (55, "Drizzle"), (57, "Freezing drizzle"), (65, "Rain"), (67, "Freezing rain"), (75, "Snow")]
 
 

@@ -17,6 +17,28 @@ def page_records(spark, sf_dir):
     return pages.page_records(table(spark, sf_dir, "pages"))
 
 
+_CHAIN = """WITH told AS (SELECT o_custkey % 7 AS site, 1 + o_orderkey % 12 AS page, CAST(floor(o_totalprice) AS BIGINT) % 300 AS name, o_orderkey FROM orders)
+, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, name ORDER BY page, o_orderkey) AS rn FROM told WHERE page <= 10) WHERE rn = 1)
+, stop AS (SELECT s.site, min(p.page) AS stop FROM (SELECT DISTINCT site FROM told) s CROSS JOIN (SELECT unnest(range(1, 12)) AS page) p WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.site = s.site AND f.page = p.page) GROUP BY s.site)
+SELECT site, page, name, o_orderkey FROM first JOIN stop USING (site) WHERE page < stop"""
+
+
+@query(_CHAIN)
+def page_chain(spark, sf_dir):
+    told = table(spark, sf_dir, "orders").selectExpr("o_custkey % 7 AS site", "1 + o_orderkey % 12 AS page", "CAST(floor(o_totalprice) AS BIGINT) % 300 AS name", "o_orderkey")
+    return pages.page_chain(told, "site", "page", "name", "o_orderkey", 10)
+
+
+_CARD = "'<div class=\"card\"><p data-name=\"kind\"><b>' || CASE p_size % 3 WHEN 0 THEN 'None' ELSE p_brand END || '</b>  ' || p_type || '</p><p data-name=\"site\"><a href=\"' || CASE p_size % 2 WHEN 0 THEN 'https://a.example/' || p_size ELSE '/local' END || '\">x</a></p></div>'"
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'None' ELSE p_brand END || ' ' || p_type AS kind, CASE WHEN p_size % 2 = 0 THEN 'https://a.example/' || p_size END AS site, p_size % 4 < 2 AS near FROM part")
+def tagged_cards(spark, sf_dir):
+    near = pages.in_states(F.expr("'1 Elm St, Town, ' || element_at(array('MD', 'VA', 'PA', 'NY'), CAST(p_size % 4 + 1 AS INT)) || ' 20850'"), ["MD", "DC", "VA"])
+    cards = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CARD).alias("card"), near.alias("near"))
+    return cards.select("p_partkey", pages.tagged_field(F.col("card"), "kind").alias("kind"), pages.tagged_link(F.col("card"), "site").alias("site"), "near")
+
+
 @query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) AS n_links FROM pages")
 def page_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.title(F.col("html")).alias("title"), F.size(pages.links(F.col("html"))).cast("long").alias("n_links"))

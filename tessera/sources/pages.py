@@ -14,6 +14,8 @@ from pyspark.sql.functions import udtf
 PHONE = r"\(?\d{3}\)?[\s.-]?\d{3}[\s.-]\d{4}"
 ADDRESS = r"\d+\s+[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+(?:St|Street|Ave|Avenue|Rd|Road|Blvd|Dr|Drive|Ln|Lane|Pike|Hwy)\b"
 SKIPPED = {"nav", "footer", "script", "style", "header"}
+# Headings that name a part of a page, not a place.
+PARTS = {"find food", "resources", "about", "contact", "home", "menu", "services", "programs", "volunteer", "donate"}
 
 
 class _Blocks(HTMLParser):
@@ -62,10 +64,11 @@ class _Blocks(HTMLParser):
 
 @udtf(returnType="strategy string, name string, text string, phone string, address string, zip string")
 class extract_records:
-    """Records of a page by three strategies: a heading with the texts after it (five at most), table rows, and list
-    items of 15 to 400 characters. The last two need a telephone number or an address."""
+    """Records of a page by three strategies: a heading with the texts after it (``siblings`` at most; headings that name
+    a part of the page give none), table rows, and list items of 15 to 400 characters. The last two need a telephone
+    number or an address."""
 
-    def eval(self, html: str) -> Iterator[tuple]:
+    def eval(self, html: str, siblings: int) -> Iterator[tuple]:
         if not html:
             return
         parser = _Blocks()
@@ -73,9 +76,9 @@ class extract_records:
         parser.close_block()
         blocks = parser.blocks
         for k, (kind, text) in enumerate(blocks):
-            if kind == "heading" and 3 <= len(text) <= 200:
+            if kind == "heading" and 3 <= len(text) <= 150 and text.lower() not in PARTS:
                 following = []
-                for other, more in blocks[k + 1 : k + 6]:
+                for other, more in blocks[k + 1 : k + 1 + siblings]:
                     if other == "heading":
                         break
                     following.append(more)
@@ -91,9 +94,39 @@ class extract_records:
         return strategy, name, text, phone and phone.group(), address and address.group(), zips[-1] if zips else None
 
 
-def page_records(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """The records of every page, with the page's key."""
-    return pages.select(key, html).lateralJoin(extract_records(F.col(html).outer())).drop(html)
+def page_records(pages: DataFrame, key: str = "page_id", html: str = "html", siblings: int = 5) -> DataFrame:
+    """The records of every page, with the page's key. ``siblings``: blocks that may follow a heading, by the site."""
+    return pages.select(key, html).lateralJoin(extract_records(F.col(html).outer(), F.lit(siblings))).drop(html)
+
+
+def tagged_field(card: Column, name: str) -> Column:
+    """The text of a card's element whose ``data-name`` is ``name``; null if it has none or says ``none``."""
+    inner = F.regexp_extract(card, rf'(?s)<([a-z0-9]+)\b[^>]*\bdata-name="{re.escape(name)}"[^>]*>(.*?)</\1>', 2)
+    text = F.trim(F.regexp_replace(F.regexp_replace(inner, r"<[^>]*>", " "), r"\s+", " "))
+    return F.when((text != "") & (F.lower(text) != "none"), text)
+
+
+def tagged_link(card: Column, name: str) -> Column:
+    """The first link inside such an element, if it is one of the web."""
+    link = F.regexp_extract(card, rf'(?s)\bdata-name="{re.escape(name)}"(?:(?!data-name=).)*?<a\b[^>]*?\bhref="(https?[^"]*)"', 1)
+    return F.when(link != "", link)
+
+
+def in_states(address: Column, states: list[str]) -> Column:
+    """Whether an address ends its city with one of the states and a postal code."""
+    return F.coalesce(address.rlike(rf",\s*(?:{'|'.join(map(re.escape, states))})\s+\d{{5}}"), F.lit(False))
+
+
+def page_chain(records: DataFrame, site: str, page: str, name: str, order: str, cap: int) -> DataFrame:
+    """The records that reading a site's pages in turn keeps: the first of each name, from at most ``cap`` pages (numbered
+    from 1), as far as the last page before one that adds no name. A page that is missing ends the site as well."""
+    rows = records.where(F.col(page).between(1, cap) & F.col(name).isNotNull())
+    first = rows.groupBy(site, name).agg(F.min(F.struct(page, order)).alias("__first"))
+    adding = first.groupBy(site).agg(F.array_sort(F.collect_set(F.col(f"__first.{page}").cast("long"))).alias("__pages"))  # at most cap numbers
+    reached = adding.select(site, F.size(F.filter("__pages", lambda p, k: p == k + 1)).alias("__last"))
+    kept = first.join(reached, site).where(F.col(f"__first.{page}") <= F.col("__last"))
+    kept = kept.select(site, name, F.col(f"__first.{page}").alias(page), F.col(f"__first.{order}").alias(order))
+    return records.join(kept, [site, name, page, order], "left_semi")
 
 
 def title(html: Column) -> Column:

@@ -1,7 +1,9 @@
 """Files, pages, spatial joins and streams."""
 
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import lookup, resolution, spatial
@@ -53,18 +55,61 @@ def test_cache_states(spark):
     assert [r["k"] for r in lookup.todo(rows, cache, "k").collect()] == ["c"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    late = rows.limit(1).withColumn("ts", F.expr("timestamp'2030-01-01'"))  # moves the watermark past all windows
-    late.write.mode("append").parquet(str(tmp_path / "in2"))
-    for k, folder in enumerate(("in", "in2")):
-        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / folder))
-        if k == 0:
-            query = stream.run_available(stream.tumbling(source), str(tmp_path / "out"), str(tmp_path / "ck"))
-            query.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    whole = stream.tumbling(rows)
-    latest = whole.agg(F.max("start")).first()[0]
-    assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in whole.collect()}
-    assert got.count() >= whole.where(F.col("start") < latest).count() - 5
+def in_two_batches(spark, rows, folder):
+    """A stream of the rows and, in a later batch, of one row that moves the watermark past all of them."""
+    rows.coalesce(1).write.parquet(f"{folder}/in")
+    late = rows.limit(1).withColumn("ts", F.expr("timestamp'2030-01-01'")).withColumn("event_id", F.lit(-1).cast(rows.schema["event_id"].dataType))
+    late.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def events_of(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def streamed(spark, frame, folder, mode="append"):
+    query = stream.run_available(frame, f"{folder}/out", f"{folder}/ck", mode)
+    assert query.awaitTermination(120)
+    return spark.read.schema(frame.schema).parquet(f"{folder}/out")
+
+
+@pytest.mark.parametrize("what", ["tumbling", "sessions"])
+def test_stream_equals_batch(spark, tmp_path, what):
+    rows, over = events_of(spark), getattr(stream, what)
+    got = streamed(spark, over(in_two_batches(spark, rows, tmp_path)), tmp_path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, over(rows).collect()))
+
+
+def test_stream_without_repeats(spark, tmp_path):
+    rows = events_of(spark)
+    got = streamed(spark, stream.without_repeats(in_two_batches(spark, rows.union(rows), tmp_path)), tmp_path)
+    assert sorted(r["event_id"] for r in got.collect() if r["event_id"] >= 0) == sorted(r["event_id"] for r in rows.collect())
+
+
+def test_stream_summary(spark, tmp_path):
+    source = in_two_batches(spark, events_of(spark), tmp_path)
+    query = stream.summary(source).writeStream.format("memory").queryName("summed").outputMode("complete").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    whole = spark.read.parquet(f"{tmp_path}/in")
+    assert sorted(map(tuple, spark.table("summed").collect())) == sorted(map(tuple, stream.summary(whole).collect()))
+
+
+def test_stream_cache(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for keys in (["a", "a", "b"], ["a", "c"]):
+        spark.createDataFrame([(x,) for x in keys], "k string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema("k string").parquet(f"{tmp_path}/in")
+        answers = stream.cached(source, "k", lambda x: None if x == "b" else x.upper())
+        query = answers.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").start()
+        end = time.time() + 60
+        while sum(p["numInputRows"] for p in query.recentProgress) < len(keys) and time.time() < end:
+            time.sleep(0.2)
+        query.stop()
+    got = spark.read.schema("k string, value string, hit boolean").parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, got.collect()), key=repr) == [("a", "A", False), ("a", "A", False), ("a", "A", True), ("b", None, False), ("c", "C", False)]
+
+
+def test_more_siblings(spark):
+    html = "<h3>Menu</h3><p>x</p><h2>Food Hub</h2>" + "".join(f"<p>line {k}</p>" for k in range(7)) + "<p>301-555-0000</p>"
+    rows = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [(r["name"], r["phone"]) for n in (5, 8) for r in pages.page_records(rows, siblings=n).collect()] == [("Food Hub", None), ("Food Hub", "301-555-0000")]
