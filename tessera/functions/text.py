@@ -139,6 +139,13 @@ def localized(translations: Column, lang: Column, field: str, english: Column) -
     return F.when(lang == "en", english).otherwise(F.coalesce(F.try_element_at(translations, lang)[field], english))
 
 
+def interface_text(key: Column, lang: Column, table: dict[str, dict[str, str]]) -> Column:
+    """A label in the language, else in English, else its key. ``table``: the languages' words of each key."""
+    words = F.create_map(*[x for k, by in table.items() for x in (F.lit(k), F.create_map(*[F.lit(x) for p in by.items() for x in p]))])
+    own = F.try_element_at(words, key)
+    return F.coalesce(F.try_element_at(own, lang), F.try_element_at(own, F.lit("en")), key)
+
+
 def interpolated(template: Column, **values: Column) -> Column:
     """``{{name}}`` replaced by the value of that name."""
     for name, value in values.items():

@@ -78,3 +78,11 @@ def enrich_by_url(records: DataFrame, pages: DataFrame, url_key: Column, page_ke
 def name_match(records: DataFrame, table: DataFrame, name: str = "name") -> DataFrame:
     """Records with the table's row of the same clean name."""
     return records.join(table.withColumn("__name", clean_name(F.col("known_name"))), clean_name(F.col(name)) == F.col("__name"), "left").drop("__name")
+
+
+def by_cell(rows: DataFrame, fetched: DataFrame, at: tuple[str, str], of: tuple[str, str], value: str, places: int = 1) -> DataFrame:
+    """Rows with the ``value`` that was fetched for their coordinates rounded to ``places``; the least of several, null
+    without one."""
+    told = fetched.groupBy(*[geo.half_up(F.col(c) * 10**places).cast("long").alias(k) for c, k in zip(of, ("__y", "__x"), strict=True)]).agg(F.min(value).alias(value))
+    keyed = rows.withColumns({k: geo.half_up(F.col(c) * 10**places).cast("long") for c, k in zip(at, ("__y", "__x"), strict=True)})
+    return keyed.join(told, ["__y", "__x"], "left").drop("__y", "__x")

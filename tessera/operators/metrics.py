@@ -28,6 +28,28 @@ def by_source(rows: DataFrame, source: str, fields: list[str]) -> DataFrame:
     return rows.groupBy(source).agg(F.count("*").alias("n_records"), *[c.alias(f"n_{f}") for c, f in zip(filled(rows, fields), fields, strict=True)]).orderBy(F.desc("n_records"), source)
 
 
+def several_sources(merged: DataFrame) -> DataFrame:
+    """One row: merged records, those that several sources tell of, and their per cent."""
+    several = F.count_if(F.col("cross_source_count") > 1)
+    return merged.agg(F.count("*").alias("records"), several.alias("several_sources"), F.round(100.0 * several / F.count("*"), 1).alias("percent"))
+
+
+def metadata(rows: DataFrame, groups: list[str], fields: list[str]) -> DataFrame:
+    """``kind, name, n, percent``: rows in all, in each value of ``groups`` (null: ``unknown``), and with each field filled."""
+    kinds = dict(rows.dtypes)
+    has = [(F.size(f) if kinds[f].startswith("array") else F.length(F.col(f).cast("string"))) > 0 for f in fields]
+    # A row tells its groups and filled fields at once, so one pass and one partial aggregate count them all.
+    told = [F.struct(F.lit("total").alias("kind"), F.lit("records").alias("name"))]
+    told += [F.struct(F.lit(g).alias("kind"), F.coalesce(F.col(g).cast("string"), F.lit("unknown")).alias("name")) for g in groups]
+    told += [F.when(h, F.struct(F.lit("field").alias("kind"), F.lit(f).alias("name"))) for f, h in zip(fields, has, strict=True)]
+    counts = rows.select(F.explode(F.array_compact(F.array(*told))).alias("t")).groupBy("t.kind", "t.name").agg(F.count("*").alias("n"))
+    every = [("total", "records"), *[("field", f) for f in fields]]
+    named = rows.sparkSession.createDataFrame(every, "kind string, name string").join(counts, ["kind", "name"], "left").select("kind", "name", F.coalesce("n", F.lit(0)).alias("n"))
+    listed = named.unionByName(counts.where(~F.col("kind").isin("total", "field")))
+    total = rows.agg(F.count("*").alias("all"))  # one row
+    return listed.join(F.broadcast(total)).select("kind", "name", "n", F.when(F.col("kind") == "field", F.round(100.0 * F.col("n") / F.col("all"), 1)).alias("percent"))
+
+
 def quality_change(before: DataFrame, after: DataFrame, fields: list[str]) -> DataFrame:
     """``field, before, after, change``."""
     a, b = completeness(before, fields), completeness(after, fields)

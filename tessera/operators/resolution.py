@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from tessera.functions.blank import blank_to_null, has_items, has_text
 from tessera.functions.text import clean_name, street_number
+from tessera.session import shared_folder
 
 # How much each source is trusted, and tags that exclude each other.
 PRIORITY = {"mocofood": 5, "cafb": 4, "two11md": 3, "two11va": 3, "mdfb-find-food": 2}
@@ -18,10 +17,8 @@ EXCLUSIVE = [("walk_in", "appointment_required"), ("no_id_required", "photo_id")
 
 
 def _safe(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+    """A checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -55,27 +52,40 @@ def pairs(records: DataFrame, threshold: float = 80.0, name_threshold: float = 9
     """``a, b, rule`` with a < b: records of one non-empty zip that tell of the same place.
 
     ``records``: ord, zip, name, address, source, hours. Equal clean names match unless both have hours and share their
-    source; other names match by likeness alone, or by a lower likeness and an equal street number. Names whose
-    lengths, or whose characters counted in classes, can't reach the likeness are dropped before the pandas function sees
-    them: the common subsequence has at most the lesser count of each class.
+    source; other names match by likeness alone, or by a lower likeness and an equal street number.
+
+    Likeness is a matter of names, so it is found once for two different names of a zip, or of a zip and street number,
+    and then joined to the records that have them. Names whose lengths, or whose characters counted in classes, can't
+    reach the likeness are dropped before the pandas function sees them: the common subsequence has at most the lesser
+    count of each class.
     """
     keyed = records.where(has_text(F.col("zip"))).select("ord", "zip", "source", clean_name(F.col("name")).alias("name"), street_number(F.col("address")).alias("number"), has_text(F.col("hours")).alias("timed"))
-    name, counted = F.coalesce("name", F.lit("")), [f"of_{k}" for k in range(len(CLASSES))]
-    keyed = keyed.withColumns({c: F.length(name) - F.length(F.translate(name, chars, "")) for c, chars in zip(counted, CLASSES, strict=True)})
-    keyed = keyed.withColumn("others", F.length(name) - sum((F.col(c) for c in counted), F.lit(0)))
-    left, right = (keyed.select(*[F.col(c).alias(f"{c}_{s}") if c != "zip" else F.col(c) for c in keyed.columns]) for s in "ab")
-    both = left.join(right, "zip").where("ord_a < ord_b")
-    same = F.col("name_a") == F.col("name_b")
-    exact = both.where(same & ~(F.col("timed_a") & F.col("timed_b") & (F.col("source_a") == F.col("source_b")))).select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), F.lit("name").alias("rule"))
+    both = keyed.alias("l").join(keyed.alias("r"), ["zip", "name"]).where("l.ord < r.ord")
+    exact = both.where(~(F.col("l.timed") & F.col("r.timed") & (F.col("l.source") == F.col("r.source")))).select(F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), F.lit("name").alias("rule"))
     if not fuzzy:
         return exact
-    street = F.coalesce(F.col("number_a") == F.col("number_b"), F.lit(False))
-    least = F.when(street, min(threshold, name_threshold)).otherwise(name_threshold)
-    sizes = F.length("name_a") + F.length("name_b")
+    alike = _matched(keyed, ["zip"], name_threshold, None).withColumn("rule", F.lit("likeness"))
+    near = _matched(keyed.where(F.col("number").isNotNull()), ["zip", "number"], threshold, name_threshold).withColumn("rule", F.lit("street"))
+    return exact.union(alike).union(near)
+
+
+def _matched(keyed: DataFrame, block: list[str], least: float, below: float | None) -> DataFrame:
+    """``a, b`` of records that share a block and whose different names have a likeness of ``least`` to ``below``."""
+    counted = [f"of_{k}" for k in range(len(CLASSES))]
+    names = keyed.where(F.col("name").isNotNull()).select(*block, "name").distinct().withColumn("size", F.length("name"))
+    names = names.withColumns({c: F.col("size") - F.length(F.translate("name", chars, "")) for c, chars in zip(counted, CLASSES, strict=True)})
+    names = names.withColumn("others", F.col("size") - sum((F.col(c) for c in counted), F.lit(0)))
+    left, right = (names.select(*block, *[F.col(c).alias(f"{c}_{s}") for c in names.columns if c not in block]) for s in "ab")
+    sizes = F.col("size_a") + F.col("size_b")
     common = sum((F.least(f"{c}_a", f"{c}_b") for c in [*counted, "others"]), F.lit(0))
-    near = both.where(~same & (200 * F.least(F.length("name_a"), F.length("name_b")) >= least * sizes) & (200 * common >= least * sizes))
-    near = near.withColumn("ratio", token_sort_ratio("name_a", "name_b")).where(F.col("ratio") >= least)
-    return exact.union(near.select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), F.when(F.col("ratio") >= name_threshold, "likeness").otherwise("street").alias("rule")))
+    can = (200 * F.least("size_a", "size_b") >= least * sizes) & (200 * common >= least * sizes)
+    found = left.join(right, block).where((F.col("name_a") < F.col("name_b")) & can).select(*block, "name_a", "name_b")
+    found = found.withColumn("ratio", token_sort_ratio("name_a", "name_b")).where(F.col("ratio") >= least)
+    if below is not None:
+        found = found.where(F.col("ratio") < below)
+    first, second = (keyed.select(*block, F.col("name").alias(f"name_{s}"), F.col("ord").alias(f"ord_{s}")) for s in "ab")
+    rows = found.select(*block, "name_a", "name_b").join(first, [*block, "name_a"]).join(second, [*block, "name_b"])
+    return rows.select(F.least("ord_a", "ord_b").alias("a"), F.greatest("ord_a", "ord_b").alias("b"))
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -85,8 +95,8 @@ def groups(links: DataFrame) -> DataFrame:
     labels = _safe(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("group")).withColumnRenamed("a", "ord"))
     while True:
         heard = both.join(labels, both["b"] == labels["ord"]).groupBy("a").agg(F.min("group").alias("heard")).withColumnRenamed("a", "ord")
-        spread = labels.join(heard, "ord").select("ord", F.least("group", "heard").alias("group"), F.col("group").alias("old"))
-        jump = spread.select(F.col("ord").alias("group"), F.col("group").alias("further"))
+        spread = _safe(labels.join(heard, "ord").select("ord", F.least("group", "heard").alias("group"), F.col("group").alias("old")))
+        jump = spread.select(F.col("ord").alias("group"), F.col("group").alias("further"))  # many may have one group: both sides are written, so adaptive execution can split them
         now = _safe(spread.join(jump, "group", "left").select("ord", F.least("group", F.coalesce("further", "group")).alias("group"), "old"))
         changed = not now.where("group != old").isEmpty()
         labels = now.select("ord", "group")

@@ -30,7 +30,20 @@ def dedup_pairs_exact(spark, sf_dir):
     return op.pairs(records(spark, sf_dir), fuzzy=False).select("a", "b")
 
 
-@query()
+def common_sql(a: str, b: str) -> str:
+    """SQL for the length of the longest common subsequence of two strings, ``a`` of at most 60 characters."""
+    whole = f"((CAST(1 AS BIGINT) << len({a})) - 1)"
+    masks = f"list_transform(string_split({b}, ''), lambda ch: CAST(coalesce(list_sum(list_transform(range(1, len({a}) + 1), lambda i: CASE WHEN {a}[i] = ch THEN CAST(1 AS BIGINT) << CAST(i - 1 AS BIGINT) ELSE 0 END)), 0) AS BIGINT))"
+    return f"(len({a}) - bit_count(list_reduce(list_prepend({whole}, {masks}), lambda row, hit: ((row + (row & hit)) | (row - (row & hit))) & {whole})))"
+
+
+_FUZZY = _PAIRS + f""", words AS (SELECT DISTINCT clean, array_to_string(list_sort(string_split(clean, ' ')), ' ') AS w FROM keyed)
+, ratios AS MATERIALIZED (SELECT x.clean AS name_a, y.clean AS name_b, 200e0 * {common_sql('x.w', 'y.w')} / (len(x.w) + len(y.w)) AS ratio FROM words x JOIN words y ON x.clean <> y.clean)
+SELECT a, b, 'name' AS rule FROM pairs UNION ALL SELECT l.ord, r.ord, CASE WHEN ratio >= 92 THEN 'likeness' ELSE 'street' END FROM keyed l JOIN keyed r ON l.zip = r.zip AND l.ord < r.ord JOIN ratios ON name_a = l.clean AND name_b = r.clean
+ WHERE ratio >= 92 OR (ratio >= 80 AND l.ord % 5 = r.ord % 5)"""
+
+
+@query(_FUZZY)
 def dedup_pairs_fuzzy(spark, sf_dir):
     return op.pairs(records(spark, sf_dir))
 

@@ -8,6 +8,7 @@ from tessera.functions import text
 from tessera.operators import search
 from tessera.plans.catalogue import query
 from tessera.plans.domain import WITH, places, records
+from tessera.plans.resolution import common_sql
 from tessera.session import table
 
 
@@ -98,10 +99,22 @@ def conversation_shape(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.array_join(ordered, " | ").alias("shape"), F.count("*").alias("turns"))
 
 
-@query()
+_WANTED = "red widgit"
+
+
+def _likeness_sql(field: str) -> str:
+    part = f"array_to_string(have[k + 1:k + {len(_WANTED.split())}], ' ')"
+    return f"(SELECT coalesce(max(2e0 * {common_sql(chr(39) + _WANTED + chr(39), 'part')} / (len(part) + {len(_WANTED)})), 0e0) FROM (SELECT {part} AS part FROM (SELECT unnest(range(0, greatest(1, len(have) - 1))) AS k, have FROM (SELECT list_filter(regexp_split_to_array(lower(v.{field}), '\\s+'), lambda x: x <> '') AS have)) WHERE len(have) > 0))"
+
+
+_SEARCH = f"""WITH v AS (SELECT DISTINCT p_name, p_brand, p_type FROM part), scored AS (SELECT *, round(0e0 + {_likeness_sql('p_name')} * 0.6e0 + {_likeness_sql('p_brand')} * 0.2e0 + {_likeness_sql('p_type')} * 0.2e0, 6) AS score FROM v)
+SELECT p_partkey, score FROM part JOIN scored USING (p_name, p_brand, p_type) WHERE score >= 0.4"""
+
+
+@query(_SEARCH)
 def fuzzy_search(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return search.search(rows, "red widgit", {"p_name": 0.6, "p_brand": 0.2, "p_type": 0.2}, "p_partkey")
+    return search.search(rows, _WANTED, {"p_name": 0.6, "p_brand": 0.2, "p_type": 0.2}, "p_partkey")
 
 
 @query(WITH + "SELECT ord, md5(source || chr(31) || plain_name) AS key FROM record")

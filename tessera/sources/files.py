@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,11 +19,20 @@ def read_envelope(spark: SparkSession, path: str, record: str | T.StructType) ->
     return spark.read.option("multiLine", True).schema(f"records array<struct<{kind.replace(' ', ':') if ':' not in kind else kind}>>").json(path).select(F.inline("records"))
 
 
-def write_envelope(rows: DataFrame, path: str, **stats) -> None:
-    """One document with its statistics; for results of a set size (reports, exports of top lists)."""
-    record = F.struct(*rows.columns)
-    whole = rows.agg(F.count("*").alias("total"), F.collect_list(record).alias("records")).withColumn("stats", F.to_json(F.create_map(*[F.lit(str(x)) for p in stats.items() for x in p]) if stats else F.lit(None).cast("map<string,string>")))
-    whole.write.mode("overwrite").json(path)
+def write_records(rows: DataFrame, path: str, **stats) -> None:
+    """Records as JSON lines in ``path/records``; their number and the statistics as one line in ``path/stats``."""
+    rows.write.mode("overwrite").json(f"{path}/records")
+    total = read_records(rows.sparkSession, path, rows.schema).agg(F.count("*").alias("total"))
+    named = F.create_map(*[F.lit(str(x)) for p in stats.items() for x in p]) if stats else F.lit(None).cast("map<string,string>")
+    total.withColumn("stats", named).write.mode("overwrite").json(f"{path}/stats")
+
+
+def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(f"{path}/records")
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("total long, stats map<string,string>").json(f"{path}/stats")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -37,17 +47,21 @@ def append_events(rows: DataFrame, path: str) -> None:
 def richest(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
     """The first of the paths that can be read: later stages' results stand before earlier ones'."""
     for path in paths:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        try:
             return spark.read.format(fmt).load(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     raise FileNotFoundError(f"none of {paths}")
 
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A cache table, empty where there is none yet."""
+    """A cache table, empty where there is none yet; files that can't be read hold nothing."""
     try:
-        return richest(spark, [path])
-    except FileNotFoundError:
+        return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
