@@ -116,10 +116,15 @@ def test_media_round_trip(odd, empty, docs):
         assert r["payload_bytes"] % 192 == 0 and r["payload_bytes"] >= max(192, r["n_bytes"])
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     stored = media.store(docs)
-    clips = media.clips(stored).groupBy("doc_id").count().collect()
+    films = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}
+    clips = {}
+    for r in media.clips(stored).collect():
+        clips.setdefault(r["doc_id"], []).append((r["clip"], r["start_s"], r["end_s"]))
     for r in media.stored_and_read(docs).collect():
         raw = media.payload_of(texts[r["doc_id"]].encode())
         assert r["payload_sha256"] == hashlib.sha256(raw).hexdigest() and r["tail_crc32"] == zlib.crc32(raw[-16:])
+        assert r["media_sha256"] == hashlib.sha256(films[r["doc_id"]]).hexdigest() and r["media_bytes"] == len(films[r["doc_id"]])
+        assert [tuple(c) for c in r["clips"]] == sorted(clips[r["doc_id"]])
     assert len(clips) == len(texts) and media.stored_and_read(empty).count() == 0
 
 
