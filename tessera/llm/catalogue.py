@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, lines, lzprint, media, packing, pii, sharding, simhash, suffix
+from tessera.llm import bpe, langid, lexical, lines, lzprint, media, packing, pii, sharding, simhash, suffix
 from tessera.session import table
 
 
@@ -57,9 +57,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "op3_lz_fingerprint": op3_lz_fingerprint, "op4_suffix_dedup": op4_suffix_dedup, "op5_media": op5_media, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-#: Over hexadecimal text, in which a byte is two characters. The others depend on digests, models or searches that SQL
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "op3_lz_fingerprint": op3_lz_fingerprint, "op4_suffix_dedup": op4_suffix_dedup, "op5_media": op5_media, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op12_lexical_search": op12_lexical_search}
+
+#: A-Z and a-z, and the terms of a text in lower case: letters, digits and all that isn't ASCII.
+_CASES, _TERM = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'", r"'[0-9a-z\x{80}-\x{10FFFF}]+'"
+
+#: Operator 4 is over hexadecimal text, in which a byte is two characters. Those without SQL depend on digests, models or searches that SQL
 #: has no function for; their tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op4_suffix_dedup": """WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents)
@@ -70,5 +77,14 @@ ORACLE_SQL: dict[str, str] = {
 , runs AS (SELECT r, g, min(s) AS a, max(s) + 200 AS b FROM isle GROUP BY r, g)
 , cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY r ORDER BY a) IS NULL AS last FROM runs)
 , kept AS (SELECT c.r, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)) || CASE WHEN last THEN substr(h, CAST(2 * b + 1 AS BIGINT)) ELSE '' END, '' ORDER BY a) AS k, sum(b - a) AS n_removed, count(*) AS n_spans FROM cut c JOIN d ON c.r = d.r GROUP BY c.r)
-SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r"""
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r""",
+    "op12_lexical_search": rf"""WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_CASES}), {_TERM})) AS term FROM documents)
+, sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id)
+, total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes)
+, asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {_CASES}), {_TERM})) AS term FROM benchmark) GROUP BY item_id, term)
+, held AS (SELECT doc_id, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term)
+, weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM held GROUP BY term), total)
+, impacts AS (SELECT h.doc_id, h.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))) AS impact FROM held h JOIN weights w ON h.term = w.term JOIN sizes s ON h.doc_id = s.doc_id, total)
+, scored AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM asked a JOIN impacts i ON a.term = i.term GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20""",
 }
