@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, lexical, lines, lzprint, media, packing, pii, sharding, simhash, suffix
+from tessera.llm import bpe, langid, lexical, lines, lzprint, media, packing, phrases, pii, sharding, simhash, suffix
 from tessera.session import table
 
 
@@ -61,7 +61,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "op3_lz_fingerprint": op3_lz_fingerprint, "op4_suffix_dedup": op4_suffix_dedup, "op5_media": op5_media, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op12_lexical_search": op12_lexical_search}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "op3_lz_fingerprint": op3_lz_fingerprint, "op4_suffix_dedup": op4_suffix_dedup, "op5_media": op5_media, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op12_lexical_search": op12_lexical_search, "op13_collocations": op13_collocations}
 
 #: A-Z and a-z, and the terms of a text in lower case: letters, digits and all that isn't ASCII.
 _CASES, _TERM = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'", r"'[0-9a-z\x{80}-\x{10FFFF}]+'"
@@ -87,4 +91,17 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 , impacts AS (SELECT h.doc_id, h.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))) AS impact FROM held h JOIN weights w ON h.term = w.term JOIN sizes s ON h.doc_id = s.doc_id, total)
 , scored AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM asked a JOIN impacts i ON a.term = i.term GROUP BY item_id, doc_id)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20""",
+    "op13_collocations": rf"""WITH pieces AS (SELECT row_number() OVER () AS p, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, {_CASES}), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents))
+, lists AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM pieces)
+, starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS s FROM lists)
+, runs AS (SELECT lang, unnest(range(1, 6)) AS size, ws, s FROM starts)
+, found AS (SELECT lang, array_to_string(ws[s:s + size - 1], ' ') AS phrase, any_value(size) AS size, count(*) AS a FROM runs WHERE s + size - 1 <= len(ws) GROUP BY 1, 2)
+, total AS (SELECT lang, CAST(sum(a) AS HUGEINT) AS n FROM found WHERE size = 1 GROUP BY lang)
+, often AS (SELECT *, string_split(phrase, ' ') AS ws FROM found WHERE a >= 100)
+, cuts AS (SELECT lang, phrase, a, ws, size, unnest(range(1, size)) AS k FROM often WHERE size > 1)
+, scored AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n, (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.a AS HUGEINT) * y.a) AS score FROM cuts c JOIN often x ON c.lang = x.lang AND x.phrase = array_to_string(c.ws[1:k], ' ') JOIN often y ON c.lang = y.lang AND y.phrase = array_to_string(c.ws[k + 1:c.size], ' ') JOIN total t ON c.lang = t.lang)
+, lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored) WHERE o = 1)
+, covered AS (SELECT DISTINCT q.lang, array_to_string(q.ws[b:b + m - 1], ' ') AS phrase, q.a FROM (SELECT lang, ws, size, a, unnest(range(1, size + 1)) AS b FROM often) q, range(2, 5) AS sizes(m) WHERE m < q.size AND b + m - 1 <= q.size)
+, kept AS (SELECT * FROM lowest l WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = l.lang AND c.phrase = l.phrase AND c.a >= l.a))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000""",
 }
