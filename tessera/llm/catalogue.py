@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, lexical, lines, lzprint, media, packing, phrases, pii, sharding, simhash, suffix
+from tessera.llm import bpe, langid, lexical, lines, lzprint, media, packing, phrases, pii, quality, sharding, simhash, suffix
 from tessera.session import table
 
 
@@ -57,6 +57,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs.where(~quality.held_out()), table(spark, sf_dir, "labels"))
+    return quality.predict(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,7 +71,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "op3_lz_fingerprint": op3_lz_fingerprint, "op4_suffix_dedup": op4_suffix_dedup, "op5_media": op5_media, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op12_lexical_search": op12_lexical_search, "op13_collocations": op13_collocations}
+QUERIES = {"op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "op3_lz_fingerprint": op3_lz_fingerprint, "op4_suffix_dedup": op4_suffix_dedup, "op5_media": op5_media, "op6_pii": op6_pii, "op7_line_dedup": op7_line_dedup, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op11_line_quality": op11_line_quality, "op12_lexical_search": op12_lexical_search, "op13_collocations": op13_collocations}
 
 #: A-Z and a-z, and the terms of a text in lower case: letters, digits and all that isn't ASCII.
 _CASES, _TERM = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'", r"'[0-9a-z\x{80}-\x{10FFFF}]+'"
