@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -48,44 +52,143 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def most_edits(a: int, b: int, least: float) -> int:
+    """How many letters may be put in or left out between strings of these lengths that are at least so alike; -1: none can be."""
+    if 200 * min(a, b) < least * (a + b):
+        return -1
+    edits = int((1 - least / 100) * (a + b) + 1e-9)
+    return edits - (edits - (b - a)) % 2  # every edit changes the difference of the lengths by one
+
+
+def segments(size: int, n: int) -> list[tuple[int, int]]:
+    """Begin and length of ``n`` segments of a string, as equal as can be."""
+    ends = [size * k // n for k in range(n + 1)]
+    return [(x, y - x) for x, y in zip(ends, ends[1:])]
+
+
+def segment_keys(word: str, least: float) -> tuple[list[str], list[str]]:
+    """What a string is found by as the shorter of two, and what it asks for as the longer of two.
+
+    Strings that are so alike differ by at most ``edits`` letters, so one of ``edits`` + 1 segments of the shorter stands
+    in the longer as it is. Segment ``i`` needs to be looked for only where at most ``i`` edits stand before it and as
+    many as there are segments after it behind it: if there are more on one side, the other has a segment of its own.
+    """
+    size, found, asked = len(word), set(), []
+    top = int(size * (200 - least) / least + 1e-9)
+    for n in {most_edits(size, b, least) + 1 for b in range(size, top + 1)} - {0}:
+        found |= {f"{size}.{n}.{k}.{word[x : x + m]}" for k, (x, m) in enumerate(segments(size, n))}
+    for a in range(size, 0, -1):
+        n = most_edits(a, size, least) + 1
+        if not n:
+            break
+        more = size - a
+        for k, (x, m) in enumerate(segments(a, n)):
+            behind = n - 1 - k
+            for at in range(max(0, x - k, x + more - behind), min(size - m, x + k, x + more + behind) + 1):
+                asked.append(f"{a}.{n}.{k}.{word[at : at + m]}")
+    return sorted(found), sorted(set(asked))
+
+
+def _keys(words: DataFrame, block: list[str], least: float) -> DataFrame:
+    """``block, word, asks, key`` of distinct words, by ``segment_keys``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, len(batch), 500):  # a word has some tens to hundreds of keys
+                some = batch.slice(begin, 500)
+                both = [segment_keys(w, least) for w in some.column(len(block)).to_pylist()]
+                row = pa.array([k for k, keys in enumerate(both) for of in keys for _ in of], pa.int64())
+                asks = pa.array([side == 1 for keys in both for side, of in enumerate(keys) for _ in of], pa.bool_())
+                key = pa.array([x for keys in both for of in keys for x in of], pa.string())
+                yield pa.RecordBatch.from_arrays([*[c.take(row) for c in some.columns], asks, key], [*some.schema.names, "asks", "key"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
+    return words.mapInArrow(run, f"{kinds}, asks boolean, key string").withColumn("key", F.xxhash64("key"))
+
+
+def alike_words(words: DataFrame, block: list[str], least: float, below: float | None = None) -> DataFrame:
+    """``block, word_a, word_b`` of the different ``word`` of a block whose likeness is ``least`` (70 or more) up to ``below``.
+
+    Words meet at segments, so those that share none never do, however many a block has. Pairs whose lengths, or whose
+    characters counted in classes, can't reach the likeness go before the pandas function sees the rest: the common
+    subsequence has at most the lesser count of each class.
+    """
+    shared_folder(words.sparkSession)
+    keys = _keys(words.select(*block, "word").distinct(), block, least).checkpoint()  # both sides of the join: split where a segment is crowded
+    asked = keys.where("asks").select(*block, "key", F.col("word").alias("word_b"))
+    size_a, size_b = F.length("word_a"), F.length("word_b")
+    count = lambda c, chars: F.length(c) - F.length(F.translate(c, chars, ""))
+    everything = "".join(CLASSES)
+    common = sum((F.least(count("word_a", c), count("word_b", c)) for c in CLASSES), F.least(size_a - count("word_a", everything), size_b - count("word_b", everything)))
+    found = keys.where("NOT asks").select(*block, "key", F.col("word").alias("word_a")).join(asked, [*block, "key"])
+    found = found.where((F.col("word_a") != F.col("word_b")) & (200 * common >= least * (size_a + size_b)))
+    found = found.select(*block, F.least("word_a", "word_b").alias("word_a"), F.greatest("word_a", "word_b").alias("word_b")).distinct()
+    found = found.withColumn("ratio", token_sort_ratio("word_a", "word_b")).where(F.col("ratio") >= least)
+    return (found if below is None else found.where(F.col("ratio") < below)).drop("ratio")
+
+
+def _keyed(records: DataFrame) -> DataFrame:
+    """What decides if records are of the same place; those without zip, or without a name once it is clean, match none."""
+    name = clean_name(F.col("name"))
+    keyed = records.where(has_text(F.col("zip"))).select("ord", "zip", "source", name.alias("name"), street_number(F.col("address")).alias("number"), has_text(F.col("hours")).alias("timed"))
+    return keyed.where(has_text(F.col("name"))).withColumn("word", F.array_join(F.sort_array(F.split("name", " ")), " "))
+
+
 def pairs(records: DataFrame, threshold: float = 80.0, name_threshold: float = 92.0, fuzzy: bool = True) -> DataFrame:
-    """``a, b, rule`` with a < b: records of one non-empty zip that tell of the same place.
+    """``a, b, rule`` with a < b: all pairs of records of one zip that tell of the same place; ``links`` has no more than it takes.
 
     ``records``: ord, zip, name, address, source, hours. Equal clean names match unless both have hours and share their
-    source; other names match by likeness alone, or by a lower likeness and an equal street number.
-
-    Likeness is a matter of names, so it is found once for two different names of a zip, or of a zip and street number,
-    and then joined to the records that have them. Names whose lengths, or whose characters counted in classes, can't
-    reach the likeness are dropped before the pandas function sees them: the common subsequence has at most the lesser
-    count of each class.
+    source; other names match by likeness alone, or by a lower likeness and an equal street number. Records without a
+    name, once it is clean, match nothing. Likeness is a matter of names with their words sorted, so it is found once for
+    two different ones of a zip, or of a zip and street number, and then joined to the records that have them.
     """
-    keyed = records.where(has_text(F.col("zip"))).select("ord", "zip", "source", clean_name(F.col("name")).alias("name"), street_number(F.col("address")).alias("number"), has_text(F.col("hours")).alias("timed"))
+    keyed = _keyed(records)
     both = keyed.alias("l").join(keyed.alias("r"), ["zip", "name"]).where("l.ord < r.ord")
-    exact = both.where(~(F.col("l.timed") & F.col("r.timed") & (F.col("l.source") == F.col("r.source")))).select(F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), F.lit("name").alias("rule"))
+    exact = both.where(~(F.col("l.timed") & F.col("r.timed") & F.col("l.source").eqNullSafe(F.col("r.source")))).select(F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), F.lit("name").alias("rule"))
+    if not fuzzy:
+        return exact
+    found = [exact]
+    for rule, block, least, below in (("likeness", ["zip"], name_threshold, None), ("street", ["zip", "number"], threshold, name_threshold)):
+        rows = keyed.where(F.col("number").isNotNull()) if rule == "street" else keyed
+        first, second = (rows.select(*block, F.col("word").alias(f"word_{s}"), F.col("name").alias(f"name_{s}"), F.col("ord").alias(f"ord_{s}")) for s in "ab")
+        near = alike_words(rows, block, least, below).join(first, [*block, "word_a"]).join(second, [*block, "word_b"])
+        if below is None:  # the same words in another order
+            near = near.unionByName(first.withColumn("word_b", F.col("word_a")).join(second, [*block, "word_b"]).where("name_a != name_b AND ord_a < ord_b"))
+        found.append(near.select(F.least("ord_a", "ord_b").alias("a"), F.greatest("ord_a", "ord_b").alias("b"), F.lit(rule).alias("rule")))
+    return reduce(DataFrame.union, found)
+
+
+def links(records: DataFrame, threshold: float = 80.0, name_threshold: float = 92.0, fuzzy: bool = True) -> DataFrame:
+    """``a, b``: links that connect what ``pairs`` connects, about one for each record and for each two names that are alike.
+
+    The records of a name link to the first of them; those that may not match it (they have hours and its source, as it
+    has) to the first that does. Where two names are alike every record of both matches, so the records of each link to
+    their first, and the firsts to each other.
+    """
+    keyed = _keyed(records)
+    own = F.when(F.col("timed"), F.coalesce("source", F.lit("\0")))  # null: matches all
+    stands = keyed.withColumn("own", own)
+    first = stands.groupBy("zip", "name").agg(F.min_by("own", "ord").alias("first_own"), F.min("ord").alias("first"))
+    aside = F.col("own").eqNullSafe(F.col("first_own")) & F.col("own").isNotNull()
+    placed = _safe(stands.join(first, ["zip", "name"]).withColumn("aside", aside | (F.col("ord") == F.col("first"))))
+    other = placed.where("NOT aside").groupBy("zip", "name").agg(F.min("ord").alias("other"))
+    exact = placed.where("NOT aside").select(F.col("first").alias("a"), F.col("ord").alias("b"))
+    exact = exact.union(placed.where("aside AND ord != first").join(other, ["zip", "name"]).select(F.col("other").alias("a"), F.col("ord").alias("b")))
     if not fuzzy:
         return exact
-    alike = _matched(keyed, ["zip"], name_threshold, None).withColumn("rule", F.lit("likeness"))
-    near = _matched(keyed.where(F.col("number").isNotNull()), ["zip", "number"], threshold, name_threshold).withColumn("rule", F.lit("street"))
-    return exact.union(alike).union(near)
-
-
-def _matched(keyed: DataFrame, block: list[str], least: float, below: float | None) -> DataFrame:
-    """``a, b`` of records that share a block and whose different names have a likeness of ``least`` to ``below``."""
-    counted = [f"of_{k}" for k in range(len(CLASSES))]
-    names = keyed.where(F.col("name").isNotNull()).select(*block, "name").distinct().withColumn("size", F.length("name"))
-    names = names.withColumns({c: F.col("size") - F.length(F.translate("name", chars, "")) for c, chars in zip(counted, CLASSES, strict=True)})
-    names = names.withColumn("others", F.col("size") - sum((F.col(c) for c in counted), F.lit(0)))
-    left, right = (names.select(*block, *[F.col(c).alias(f"{c}_{s}") for c in names.columns if c not in block]) for s in "ab")
-    sizes = F.col("size_a") + F.col("size_b")
-    common = sum((F.least(f"{c}_a", f"{c}_b") for c in [*counted, "others"]), F.lit(0))
-    can = (200 * F.least("size_a", "size_b") >= least * sizes) & (200 * common >= least * sizes)
-    found = left.join(right, block).where((F.col("name_a") < F.col("name_b")) & can).select(*block, "name_a", "name_b")
-    found = found.withColumn("ratio", token_sort_ratio("name_a", "name_b")).where(F.col("ratio") >= least)
-    if below is not None:
-        found = found.where(F.col("ratio") < below)
-    first, second = (keyed.select(*block, F.col("name").alias(f"name_{s}"), F.col("ord").alias(f"ord_{s}")) for s in "ab")
-    rows = found.select(*block, "name_a", "name_b").join(first, [*block, "name_a"]).join(second, [*block, "name_b"])
-    return rows.select(F.least("ord_a", "ord_b").alias("a"), F.greatest("ord_a", "ord_b").alias("b"))
+    found = [exact]
+    for block, least, below in ((["zip"], name_threshold, None), (["zip", "number"], threshold, name_threshold)):
+        rows = keyed.where(F.col("number").isNotNull()) if "number" in block else keyed
+        words = rows.groupBy(*block, "word").agg(F.min("ord").alias("first"), (F.min("name") != F.max("name")).alias("several"))
+        near = _safe(alike_words(rows, block, least, below))
+        firsts = [words.select(*block, F.col("word").alias(f"word_{s}"), F.col("first").alias(s)) for s in "ab"]
+        found.append(near.join(firsts[0], [*block, "word_a"]).join(firsts[1], [*block, "word_b"]).select("a", "b"))
+        some = near.select(*block, F.col("word_a").alias("word")).union(near.select(*block, F.col("word_b").alias("word")))
+        if below is None:
+            some = some.union(words.where("several").select(*block, "word"))
+        stars = rows.join(some.distinct(), [*block, "word"]).join(words.select(*block, "word", "first"), [*block, "word"])
+        found.append(stars.where("ord != first").select(F.col("first").alias("a"), F.col("ord").alias("b")))
+    return reduce(DataFrame.union, found)
 
 
 def groups(links: DataFrame) -> DataFrame:

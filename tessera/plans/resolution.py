@@ -8,10 +8,13 @@ from tessera.functions import geo, text
 from tessera.operators import lookup
 from tessera.operators import resolution as op
 from tessera.plans.catalogue import query
-from tessera.plans.domain import WITH, places, records
+from tessera.plans.domain import WITH, places
+from tessera.plans.domain import records as named_records
 from tessera.session import table
 
-_PAIRS = WITH + """, keyed AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), ', inc\\.$', ''), '[.,:;!?]', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM record WHERE length(zip) > 0)
+#: Some records have no name, or nothing but marks.
+_NAME = "CASE WHEN ord % 41 = 0 THEN ' ' WHEN ord % 43 = 0 THEN '., !' ELSE name END"
+_PAIRS = WITH + f""", keyed AS (SELECT * FROM (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({_NAME})), ', inc\\.$', ''), '[.,:;!?]', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM record WHERE length(zip) > 0) WHERE length(clean) > 0)
 , pairs AS (SELECT a.ord AS a, b.ord AS b FROM keyed a JOIN keyed b ON a.zip = b.zip AND a.clean = b.clean AND a.ord < b.ord
   WHERE NOT (coalesce(length(a.hours) > 0, false) AND coalesce(length(b.hours) > 0, false) AND a.source = b.source))
 """
@@ -25,6 +28,10 @@ _GROUPS = _PAIRS.replace("WITH place", "WITH RECURSIVE place", 1) + """, both_wa
 """
 
 
+def records(spark, sf_dir):
+    return named_records(spark, sf_dir).withColumn("name", F.expr(_NAME))
+
+
 @query(_PAIRS + "SELECT a, b FROM pairs")
 def dedup_pairs_exact(spark, sf_dir):
     return op.pairs(records(spark, sf_dir), fuzzy=False).select("a", "b")
@@ -48,14 +55,33 @@ def dedup_pairs_fuzzy(spark, sf_dir):
     return op.pairs(records(spark, sf_dir))
 
 
+_WITH_FUZZY, _ALL_PAIRS = _FUZZY.split("SELECT a, b, 'name'")
+
+
+@query(_WITH_FUZZY.replace("WITH place", "WITH RECURSIVE place", 1) + ", alike AS (SELECT a, b, 'name'" + _ALL_PAIRS + """), both_ways AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike)
+, reach AS (SELECT a AS ord, a AS seen FROM both_ways UNION SELECT r.ord, e.b FROM reach r JOIN both_ways e ON r.seen = e.a) SELECT ord, min(seen) AS grp FROM reach GROUP BY ord""")
+def dedup_components_fuzzy(spark, sf_dir):
+    return op.groups(op.links(records(spark, sf_dir))).withColumnRenamed("group", "grp")
+
+
+@query(_PAIRS + """, stands AS (SELECT ord, zip, clean, CASE WHEN length(hours) > 0 THEN source END AS own FROM keyed)
+, placed AS (SELECT *, min(ord) OVER w AS first, first_value(own) OVER w AS first_own FROM stands WINDOW w AS (PARTITION BY zip, clean ORDER BY ord))
+, sided AS (SELECT *, coalesce(own = first_own, false) OR ord = first AS aside FROM placed)
+, others AS (SELECT zip, clean, min(ord) AS other FROM sided WHERE NOT aside GROUP BY zip, clean)
+SELECT first AS a, ord AS b FROM sided WHERE NOT aside UNION ALL SELECT other, ord FROM sided JOIN others USING (zip, clean) WHERE aside AND ord <> first""")
+def dedup_links(spark, sf_dir):
+    """A link for each record that has a match by name, whatever the number of equal names."""
+    return op.links(records(spark, sf_dir), fuzzy=False)
+
+
 def _ranked(spark, sf_dir):
     rows = records(spark, sf_dir)
-    return op.ranked(rows, op.groups(op.pairs(rows, fuzzy=False)))
+    return op.ranked(rows, op.groups(op.links(rows, fuzzy=False)))
 
 
 @query(_GROUPS + "SELECT ord, grp FROM groups")
 def dedup_components(spark, sf_dir):
-    return op.groups(op.pairs(records(spark, sf_dir), fuzzy=False)).withColumnRenamed("group", "grp")
+    return op.groups(op.links(records(spark, sf_dir), fuzzy=False)).withColumnRenamed("group", "grp")
 
 
 @query(_GROUPS + "SELECT grp, ord AS survivor FROM ranked WHERE place = 1")
@@ -92,7 +118,7 @@ def dedup_sources(spark, sf_dir):
 
 @query(_GROUPS + "SELECT grp, count(*) AS n_records FROM groups GROUP BY grp ORDER BY n_records DESC, grp LIMIT 15")
 def dedup_dry_run(spark, sf_dir):
-    return op.largest_groups(op.groups(op.pairs(records(spark, sf_dir), fuzzy=False))).withColumnRenamed("group", "grp")
+    return op.largest_groups(op.groups(op.links(records(spark, sf_dir), fuzzy=False))).withColumnRenamed("group", "grp")
 
 
 @query("SELECT p_name, p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part) WHERE n = 1")

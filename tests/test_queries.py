@@ -3,6 +3,7 @@
 from numbers import Number
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -22,7 +23,14 @@ def sql():
 
 def rows(frame: pd.DataFrame):
     frame = frame[sorted(frame.columns)]
-    return sorted([tuple(None if pd.isna(v) else str(v) if not isinstance(v, Number) else float(v) for v in r) for r in frame.itertuples(index=False)], key=repr)
+    return sorted([tuple(plain(v) for v in r) for r in frame.itertuples(index=False)], key=repr)
+
+
+def plain(v):
+    """A value that is the same from both sides: truth values of Python and numpy alike, numbers as floats, the rest as text."""
+    if isinstance(v, (bool, np.bool_)):
+        return str(bool(v))
+    return None if pd.isna(v) else float(v) if isinstance(v, Number) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
