@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.functions.blank import has_number
 from tessera.functions.text import clean_name
+from tessera.sources.versions import Versions
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key: where a table is written to again and again, the last write holds."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The last row of each key: where a table is written to again and again, the last write holds. Added up before rows move."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
 
 
 def geocode(records: DataFrame, by_name: DataFrame, by_address: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -56,9 +58,20 @@ def todo(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return rows.join(cache.select(key).distinct(), key, "left_anti")
 
 
-def refreshed(rows: DataFrame, cache: DataFrame, key: str, fetch) -> DataFrame:
-    """The cache with what ``fetch`` (DataFrame to DataFrame of the cache's columns) finds for missing keys."""
-    return cache.unionByName(fetch(todo(rows.select(key).distinct(), cache, key)))
+def refreshed(rows: DataFrame, cache: Versions, key: str, fetch: Callable[[DataFrame], DataFrame]) -> None:
+    """Put what ``fetch`` (distinct keys to rows of the cache) finds for the keys that the cache has nothing of into it."""
+    cache.upsert(fetch(todo(rows.select(key).where(F.col(key).isNotNull()).distinct(), cache.read(), key)))
+
+
+def answered(rows: DataFrame, cache: Versions, key: str, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with the cache's columns of their key, and ``cache_state``: a hit if the cache had it before, or a miss.
+
+    Misses are fetched once for each key and stay in the cache, so a run that is ended and begun again asks only for the rest.
+    """
+    before = cache.number()
+    refreshed(rows, cache, key, fetch)
+    now, known = cache.read(), cache.read(before).select(key, F.lit("hit").alias("cache_state"))
+    return rows.join(now, key, "left").join(known, key, "left").fillna("miss", ["cache_state"])
 
 
 def shared_by_first(rows: DataFrame, key: Column, order: str, values: list[str]) -> DataFrame:

@@ -264,6 +264,5 @@ def largest_groups(found: DataFrame, n: int = 15) -> DataFrame:
 
 
 def first_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each key in the given order; a key's rows are compared where they are read, not gathered."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tessera.plans import exports, impact, people, places, reports, resolution, rules, sources, texts  # noqa: E402, F401
+from tessera.plans import exports, impact, people, places, reports, resolution, rules, sources, stores, texts  # noqa: E402, F401
