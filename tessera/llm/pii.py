@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
-#: The session's setting with the key; by its name, Spark hides the value in its interface and logs.
+#: The session's setting with the key. Its name makes Spark hide the value where it shows settings; plans hold a reference
+#: to a table of one row with the key, never the key (``_shown_to``).
 KEY = "spark.tessera.pii.secret"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -181,9 +182,9 @@ def mod97(account: Column) -> Column:
     return F.aggregate(digits, F.lit(0), lambda sofar, d: (sofar * F.when(d > 9, 100).otherwise(10) + d) % 97)
 
 
-def stream_of(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+def stream_of(kind: Column, canon: Column, attempt: Column, key: Column) -> Column:
     """128 hex digits that only who has the key can tell."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), F.lit(key)), 512)
+    return F.sha2(F.concat_ws("\x1f", key, kind, canon, attempt.cast("string"), key), 512)
 
 
 def _indexed(body: Column, counted: str) -> Column:
@@ -247,7 +248,7 @@ def _new_body(x: Column) -> Column:
     )
 
 
-def draw(found: Column, attempt: Callable[[Column], Column], key: str) -> Column:
+def draw(found: Column, attempt: Callable[[Column], Column], key: Column) -> Column:
     """For each ``match, kind, gender`` a struct of ``match, kind, gender, canon, new, drawn``: also what all its
     spellings share, its surrogate, and what the surrogate's spellings share. ``kind`` is null for what only looks like
     an entity.
@@ -283,7 +284,7 @@ class _Helpers:
 
     def __init__(self):
         own = uuid.uuid4().hex
-        self.sorted, self.names, self.pattern, self.found, self.tie, self.attempts = (f"{n}_{own}" for n in ("sorted", "names", "pattern", "found", "tie", "attempts"))
+        self.sorted, self.names, self.pattern, self.found, self.tie, self.attempts, self.key = (f"{n}_{own}" for n in ("sorted", "names", "pattern", "found", "tie", "attempts", "key"))
 
 
 def _searched(docs: DataFrame, text: Column, at: _Helpers) -> DataFrame:
@@ -303,16 +304,23 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = _Helpers()
     rows = _searched(docs.select(F.col(text_col).cast("string").alias("text")), F.col("text"), at)
     found = rows.select(F.inline(F.array_distinct(at.found))).groupBy("match", "kind", "gender").agg(F.lit(0).alias("n"))
-    drawn = found.select(F.inline(draw(F.array(F.struct("match", "kind", "gender")), lambda _: F.lit(0), ""))).where("kind IS NOT NULL")
+    drawn = found.select(F.inline(draw(F.array(F.struct("match", "kind", "gender")), lambda _: F.lit(0), F.lit("")))).where("kind IS NOT NULL")
     return drawn.groupBy("kind", "canon", "gender").agg(F.min("match").alias("match"))
 
 
+def _shown_to(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the key in the column ``name``: the value of a subquery, of which the plan's text has the number alone."""
+    held = rows.sparkSession.createDataFrame([(key,)], f"`{name}` string")
+    return rows.withColumn(name, held.select(name).scalar())
+
+
 def attempts(found: DataFrame, key: str) -> DataFrame | None:
     """``kind, canon, attempt`` of the entities that must draw again so that surrogates are distinct; None if none must."""
     now = cut(found.withColumn("attempt", F.lit(0)))
     redrawn = False
     while True:
-        drawn = cut(now.select("kind", "canon", "attempt", draw(F.array(F.struct("match", "kind", "gender")), lambda _: F.col("attempt"), key)[0]["drawn"].alias("drawn")))
+        shown = _shown_to(now, key, "key")
+        drawn = cut(shown.select("kind", "canon", "attempt", draw(F.array(F.struct("match", "kind", "gender")), lambda _: F.col("attempt"), F.col("key"))[0]["drawn"].alias("drawn")))
         holders = drawn.groupBy("kind", "drawn").agg(F.min(F.struct("attempt", "canon")).alias("holder"), F.count("*").alias("n"))
         clash = drawn.join(holders.where("n > 1"), ["kind", "drawn"]).where(F.col("holder.canon") != F.col("canon")).select("kind", "canon")
         real = now.select("kind", F.when(F.col("kind") == "given", F.substr("canon", F.lit(3))).otherwise(F.col("canon")).alias("drawn"))
@@ -337,11 +345,12 @@ def replace_pii(docs: DataFrame, key: str | None = None, text_col: str = "text")
     again = attempts(entities(docs, text_col), key)
     rows = _searched(docs, text, at)
     if again is not None:  # the entities that drew again, by the texts that mention them
-        mention = _searched(docs.select(text.alias("text"), F.xxhash64(text).alias(at.tie)), F.col("text"), at).select(at.tie, F.inline(draw(F.array_distinct(at.found), lambda _: F.lit(0), "")))
+        mention = _searched(docs.select(text.alias("text"), F.xxhash64(text).alias(at.tie)), F.col("text"), at).select(at.tie, F.inline(draw(F.array_distinct(at.found), lambda _: F.lit(0), F.lit(""))))
         redrawn = mention.join(again, ["kind", "canon"]).groupBy(at.tie).agg(F.map_from_entries(F.collect_set(F.struct("match", "attempt"))).alias(at.attempts))
         rows = rows.withColumn(at.tie, F.xxhash64(text)).join(redrawn, at.tie, "left")
     else:
         rows = rows.withColumn(at.attempts, F.lit(None).cast("map<string,int>"))
-    drawn = draw(F.col(at.found), lambda x: F.coalesce(F.try_element_at(F.col(at.attempts), x["match"]), F.lit(0)), key)
+    rows = _shown_to(rows, key, at.key)
+    drawn = draw(F.col(at.found), lambda x: F.coalesce(F.try_element_at(F.col(at.attempts), x["match"]), F.lit(0)), F.col(at.key))
     new = F.array_join(F.zip_with(F.split(text, F.col(at.pattern), -1), drawn, lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit("")))), "")
     return rows.withColumn(text_col, F.when(F.col(at.pattern).isNotNull(), new).otherwise(text)).select(*columns)

@@ -406,3 +406,13 @@ def test_surrogates_stay_distinct(spark):
     rows = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
     got = [r["text"] for r in pii.replace_pii(rows).collect()]
     assert len(set(got)) == len(names) and not set(got) & set(names)
+
+
+def test_plans_dont_show_the_key(spark):
+    rows = spark.createDataFrame([(1, "Mr. John Smith, john.smith@example.org, card 4111 1111 1111 1111"), (2, "ann@example.org")], "n long, text string").repartition(2)
+    secret = "a-key-that-nobody-may-see"
+    made = pii.replace_pii(rows, secret)
+    before = made._jdf.queryExecution().toString()
+    assert {r["text"][:3] for r in made.collect()} and secret not in before and secret not in made._jdf.queryExecution().toString()
+    for mode in ("extended", "formatted", "codegen", "cost"):
+        assert secret not in spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), mode)
