@@ -188,16 +188,20 @@ SLOTS, SAMPLE, HOT, BROADCAST = 1 << 18, 20_000, 0.01, 1 << 20
 
 
 def _set(text: str | None, width: int, seed: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, width, seed), np.uint64).astype(np.uint32))
+    return np.unique(np.array(shingle_hashes(text, width, seed), np.uint64))
 
 
 def _packed(values: np.ndarray) -> bytes:
     """Ascending numbers by their differences, first all low bytes, last all high ones, which compress."""
-    return np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(SLOTS)).astype(np.int64)
 
 
 def _frequencies(docs: DataFrame, n: int, width: int, seed: int) -> np.ndarray:
@@ -207,7 +211,7 @@ def _frequencies(docs: DataFrame, n: int, width: int, seed: int) -> np.ndarray:
         counts = np.zeros(SLOTS, np.int64)
         for batch in slices(batches, "text", SLICE):
             for t in column(batch, "text").to_pylist():
-                counts[_set(t, width, seed) % SLOTS] += 1
+                np.add.at(counts, _slot(_set(t, width, seed)), 1)
         slot = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
 
@@ -242,7 +246,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     meet at a shingle, those of the smaller one that have it meet every member of the larger, pair by pair or in parts
     of about ``SHARD`` documents. So no pair is lost, and no task holds a whole crowd.
 
-    Sets are written once; what moves is the first shingles, pairs, and the sets of nodes in a pair.
+    Shingles are 64-bit hashes throughout. Their first ones are written once, and whole sets never: those of nodes in a
+    pair are made again from the text. What moves is the first shingles, pairs, and the sets of nodes in a pair.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -254,17 +259,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
         for batch in slices(batches, "text", SLICE):
             found = [_set(t, width, seed) for t in column(batch, "text").to_pylist()]
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(node), pa.array([_packed(x) for x in found], pa.binary())], ["key", "node", "set"])
+            size = np.array([len(x) for x in found], np.int32)
+            found = [x[np.argsort(often[_slot(x)], kind="stable")[: prefix(len(x), similarity)]] for x in found]
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(node), pa.array(size), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "node", "n", "first"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "set", SLICE):
-            found = [_unpacked(x) for x in column(batch, "set").to_pylist()]
-            size = np.array([len(x) for x in found], np.int64)
-            found = [x[np.argsort(often[x % SLOTS], kind="stable")[: prefix(len(x), similarity)]] for x in found]
+        for batch in slices(batches, "first", SLICE):
+            found = [np.frombuffer(x, np.uint64) for x in column(batch, "first").to_pylist()]
             many = np.array([len(x) for x in found], np.int64)
-            own, token = np.repeat(np.arange(len(found)), many), np.concatenate(found)
-            numbers = [pa.array(x.astype(np.int32)) for x in (ramp(many), size[own])]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int32)), *numbers, column(batch, "node").take(pa.array(own)), pa.array(often[token % SLOTS] >= crowd)], ["token", "pos", "n", "node", "hot"])
+            own, token = pa.array(np.repeat(np.arange(len(found)), many)), np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ramp(many).astype(np.int32)), column(batch, "n").take(own), column(batch, "node").take(own), pa.array(often[_slot(token)] >= crowd)], ["token", "pos", "n", "node", "hot"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array([_packed(_set(t, width, seed)) for t in column(batch, "text").to_pylist()], pa.binary())], ["node", "set"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by token, pos and node: those of tokens that several nodes have, once each, with the first node's.
@@ -291,7 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
             can = pos[keep] + similarity * pos[at] <= (1 - similarity) * n[keep] + 1e-6  # else no set that has it, at such a place or later, can be alike
             keep, at = keep[can], at[can]
             head, last, given = (token[first[-1]], pos[first[-1]], n[first[-1]], node[first[-1]]), node[-1], bool(several[-1])
-            arrays = [pa.array(x.astype(t)) for x, t in zip((token[keep], pos[keep], n[keep], node[keep], pos[at], n[at], node[at]), (np.int32, np.int32, np.int32, np.int64, np.int32, np.int32, np.int64), strict=True)]
+            arrays = [pa.array(x.astype(t)) for x, t in zip((token[keep], pos[keep], n[keep], node[keep], pos[at], n[at], node[at]), (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, np.int64), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["token", "pos", "n", "node", "head_pos", "head_n", "head"])
 
     def keep_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,10 +308,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
             yield batch.filter(pa.array([_alike(p, q, similarity) for p, q in zip(x, y, strict=True)], pa.bool_())).select(["a", "b"])
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        """``node, set`` of the distinct nodes given; the others' sets stay where they are if the nodes are few enough to tell."""
+        """``node, set`` of the distinct nodes given, made again from the text of one document of each.
+
+        The others' texts stay where they are if the nodes are few enough to tell.
+        """
         nodes = staged(nodes)
-        few = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
-        return every.select("node", "set").join(few, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+        small = nodes.count() <= BROADCAST
+        one = every.select("node", "key").join(F.broadcast(nodes) if small else nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+        one = staged(one)
+        return rows.join(F.broadcast(one) if small else one, "key").select("node", "text").mapInArrow(again, "node long, set binary")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs ``a, b``, in which many may have one ``b``, those that are alike."""
@@ -334,14 +347,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
 
     early: list[tuple[str, DataFrame]] = []
     late: list[tuple[str, DataFrame]] = []
-    every = staged(rows.mapInArrow(sets, f"key {kind}, node long, set binary"), late)
-    keys = staged(every.select("node", "set").mapInArrow(prefixes, "token int, pos int, n int, node long, hot boolean"), early)
+    every = staged(rows.mapInArrow(sets, f"key {kind}, node long, n int, first binary"), late)
+    keys = staged(every.select("node", "n", "first").mapInArrow(prefixes, "token long, pos int, n int, node long, hot boolean"), early)
     hot = keys.where("hot").drop("hot").distinct()
     heads = hot.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("one"), F.count("*").alias("nodes")).where("nodes > 1")
     heads = staged(heads.select("token", F.col("one.pos").alias("head_pos"), F.col("one.n").alias("head_n"), F.col("one.node").alias("head")))
     hot = hot.join(heads, "token").where(F.col("pos") + similarity * F.col("head_pos") <= (1 - similarity) * F.col("n") + 1e-6).select("token", "pos", "n", "node", "head_pos", "head_n", "head")  # adaptive execution splits it at crowded shingles
     cold = keys.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token", "pos", "node")
-    keyed = staged(hot.unionByName(cold.mapInArrow(met, "token int, pos int, n int, node long, head_pos int, head_n int, head long")), late)
+    keyed = staged(hot.unionByName(cold.mapInArrow(met, "token long, pos int, n int, node long, head_pos int, head_n int, head long")), late)
     emptied(early)
     least = similarity / (1 + similarity)
     near = keyed.where("node != head").where(_may_meet(F.col("pos"), F.col("n"), F.col("head_pos"), F.col("head_n"), least))
