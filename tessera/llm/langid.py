@@ -35,7 +35,7 @@ EPOCHS, BATCH, STEP = 4, 32, 0.5
 #: Bytes of a text that are learned from at once: longer texts are learned as several, predictions take texts whole.
 LESSON = 600
 #: Deviations that a text's familiarity may be below the least of the held-back texts, and below their mean for chance.
-MARGIN, CHANCE = 4.0, 6.0
+MARGIN, CHANCE = 8.0, 14.0
 KEEP, FLOOR = 0.9995, 0.5
 SLICE = 1 << 20
 LETTER = regex.compile(r"\p{L}")
