@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.blank import blank_to_null, has_number, has_text
 from tessera.functions.text import canonical_state, coded, services_of
+from tessera.operators.equity import urgency
 
 LANGUAGE_CODES = {"english": "en", "spanish": "es", "amharic": "am", "french": "fr", "arabic": "ar", "chinese": "zh", "korean": "ko", "vietnamese": "vi", "portuguese": "pt"}
 SERVICE_ALIASES = {"pantry": "food_pantry", "meals": "hot_meals"}
@@ -60,11 +64,11 @@ def plain_copy(text: Column, says_nothing: list[str]) -> Column:
     return F.when(~(F.lower(kept).isin([s.lower() for s in says_nothing]) | F.startswith(F.lower(kept), F.lit("nourishing"))), kept)
 
 
-def exported(records: DataFrame) -> DataFrame:
+def exported(records: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """The export: front-end names, codes for languages, canonical services and state, nested blocks; nothing internal.
 
     Needs id, name, address, zip, state, lat, lon, phone, website, hours, services, requirements, languages, hero_copy,
-    guide, eligibility, tone, trust, tier, metro, bus, mode, alert.
+    guide, eligibility, tone, trust, tier, metro, bus, mode, alert. Columns named in ``more`` are kept as they are.
     """
     return essential(records).select(
         "id",
@@ -85,9 +89,99 @@ def exported(records: DataFrame) -> DataFrame:
         nearest_stop(F.col("metro"), F.col("bus"), F.col("mode")).alias("nearestTransit"),
         transit_block(F.col("metro"), F.col("bus"), F.col("mode")).alias("transit"),
         weather_block(F.col("alert")).alias("weather"),
+        *more,
     )
 
 
+# The names that sources are shown by, and the states that are counted by name.
+SOURCE_NAMES = {"cafb": "Capital Area Food Bank", "mdfb-find-food": "Maryland Food Bank", "two11md": "211 Maryland", "two11va": "211 Virginia", "mocofood": "Montgomery County Food Council"}
+STATES = ["MD", "VA", "DC"]
+
+
+def whole(records: DataFrame, areas: DataFrame, now: Column) -> DataFrame:
+    """``exported`` with every field of the published file: place, food, flat transit fields, provenance, giving, urgency, times.
+
+    ``records`` also needs city, food_types, source, source_ids, accepts_food, accepts_money, accepts_volunteers,
+    donate_url, volunteer_url. ``areas`` has a row for each zip: zip, neighborhood, gap; a zip without one has neither
+    neighborhood nor urgency.
+    """
+    rows = records.join(areas.select("zip", "neighborhood", "gap"), "zip", "left")
+    metro, bus, mode, alert = (F.col(c) for c in ("metro", "bus", "mode", "alert"))
+    ids = F.when(F.size("source_ids") > 0, F.col("source_ids")).otherwise(F.array(F.coalesce("source", F.lit("unknown"))))
+    named = F.create_map(*[F.lit(x) for pair in SOURCE_NAMES.items() for x in pair])
+    source = F.coalesce("source", F.lit("unknown"))
+    signal = urgency(F.col("gap"))
+    more = {
+        "neighborhood": F.col("neighborhood"),
+        "city": F.coalesce("city", F.lit("")),
+        "foodTypes": F.coalesce("food_types", F.array().cast("array<string>")),
+        "nearestTransitType": mode,
+        "nearestTransitLines": F.when(mode == "metro", metro["lines"]).when(mode == "bus", F.array(bus["route"])),
+        "transitDistanceMeters": F.when(mode == "metro", metro["metres"]).when(mode == "bus", bus["metres"]),
+        "weatherAlert": weather_block(alert),
+        "sourceId": source,
+        "sourceName": F.coalesce(F.try_element_at(named, source), source),
+        "sourceIds": ids,
+        "crossSourceCount": F.size(ids),
+        "acceptsFoodDonations": F.coalesce("accepts_food", F.lit(False)),
+        "acceptsMoneyDonations": F.coalesce("accepts_money", F.lit(False)),
+        "acceptsVolunteers": F.coalesce("accepts_volunteers", F.lit(False)),
+        "donateUrl": F.col("donate_url"),
+        "volunteerUrl": F.col("volunteer_url"),
+        "urgency": F.when(signal["level"].isNotNull(), signal),
+        "createdAt": now,
+        "updatedAt": now,
+    }
+    own = {f"__{name}": column for name, column in more.items()}
+    return exported(rows.withColumns(own), list(own)).drop("weather").withColumnsRenamed({f"__{name}": name for name in more})
+
+
+def coverage() -> dict[str, Column]:
+    """What the metadata counts of exported rows: fields that say something, records by state and by source."""
+    has = {
+        "hours": has_text(F.col("hoursRaw")),
+        "coords": has_number(F.col("lat")) & has_number(F.col("lon")),
+        "heroCopy": has_text(F.col("ai.heroCopy")),
+        "website": has_text(F.col("website")),
+        "foodTypes": F.size("foodTypes") > 0,
+        "languages": F.size("languages") > 0,
+        "transit": F.col("transit").isNotNull(),
+        "metro": F.col("transit.nearestMetro").isNotNull(),
+        "bus": F.col("transit.nearestBus").isNotNull(),
+        "weatherAlerts": F.col("weatherAlert").isNotNull(),
+    }
+    named = {f"coverage.{name}": held for name, held in has.items()}
+    named |= {f"byState.{s}": F.col("state") == s for s in STATES} | {"byState.other": ~F.coalesce(F.col("state").isin(STATES), F.lit(False))}
+    return named | {f"bySource.{s}": F.col("sourceId") == s for s in SOURCE_NAMES} | {"bySource.other": ~F.col("sourceId").isin(list(SOURCE_NAMES))}
+
+
+def write_export(rows: DataFrame, path: str) -> None:
+    """``whole`` rows as JSON lines in ``path/records``, and their metadata as one line in ``path/metadata``.
+
+    The counts are observed by the write itself, so rows and metadata are of one pass. The metadata is written last:
+    where it stands, the records are whole. A record's internal fields never get here.
+    """
+    observed = Observation()
+    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in coverage().items()]
+    rows.observe(observed, F.count("*").alias("totalOrganizations"), *counts).write.mode("overwrite").json(f"{path}/records")
+    told = observed.get
+    groups = {g: {n.partition(".")[2]: k for n, k in told.items() if n.startswith(f"{g}.")} for g in ("byState", "bySource", "coverage")}
+    row = (told["totalOrganizations"], *groups.values())
+    metadata = rows.sparkSession.createDataFrame([row], METADATA).withColumn("generatedAt", F.current_timestamp())
+    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+METADATA = "totalOrganizations long, byState map<string, long>, bySource map<string, long>, coverage map<string, long>"
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """``kind, name, n`` of an export's metadata."""
+    told = spark.read.schema(METADATA).json(f"{path}/metadata")
+    parts = [told.select(F.lit("total").alias("kind"), F.lit("organizations").alias("name"), F.col("totalOrganizations").alias("n"))]
+    parts += [told.select(F.lit(g).alias("kind"), F.explode(g).alias("name", "n")) for g in ("byState", "bySource", "coverage")]
+    return reduce(DataFrame.union, parts)
+
+
 def share_text(name: Column, address: Column, phone: Column, hours: Column) -> Column:
     """What a person sends on: the lines that there are."""
     return F.concat_ws("\n", *[blank_to_null(c) for c in (name, address, phone, hours)])

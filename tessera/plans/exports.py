@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import enrichment, export
 from tessera.plans.catalogue import query
 from tessera.plans.domain import WITH, areas, places
-from tessera.session import table
+from tessera.session import shared_folder, table
 from tessera.sources import external, files
 
 @query(WITH + """SELECT place, CASE WHEN is_walk_in AND is_no_id THEN CASE place % 2 WHEN 0 THEN 'Walk in, no papers asked.' ELSE 'Come by any open day without papers.' END
@@ -84,6 +86,55 @@ def export_records(spark, sf_dir):
     return export.exported(_records(spark, sf_dir)).select("id", "state", F.col("transit.transitSummary").alias("summary"), F.col("nearestTransit.name").alias("stop"), F.col("nearestTransit.distanceMeters").alias("metres"), F.col("weather.alertLevel").alias("alert"))
 
 
+_NEAR = "CASE WHEN place % 3 > 0 THEN 'metro' WHEN place % 4 > 1 THEN 'bus' END"
+_WHOLE = WITH + f""", zips AS (SELECT CAST(20001 + (area * 197) % 4600 AS STRING) AS zip, label AS neighborhood, poverty / 4 AS gap FROM area WHERE area % 5 > 0)
+, shown AS (SELECT *, {_NEAR} AS mode FROM place LEFT JOIN zips USING (zip) WHERE place % 9 > 0 AND place % 8 > 0)
+"""
+
+
+def _whole(spark, sf_dir):
+    k = F.col("place")
+    zips = areas(spark, sf_dir).where("area % 5 > 0").selectExpr("CAST(20001 + (area * 197) % 4600 AS STRING) AS zip", "label AS neighborhood", "poverty / 4 AS gap")
+    given = {
+        "city": F.when(k % 2 == 0, "Rockville"),
+        "food_types": F.when(k % 4 == 1, F.array(F.lit("produce"), F.lit("dairy"))),
+        "source_ids": F.when(k % 6 == 0, F.array(F.col("source"), F.lit("other"))),
+        "source": F.when(k % 13 == 0, "county").when(k % 17 > 0, F.col("source")),
+        "donate_url": F.when(k % 5 == 0, F.concat(F.lit("https://give.example/"), k.cast("string"))),
+        "volunteer_url": F.when(k % 7 == 0, "https://help.example/"),
+    }
+    return export.whole(_records(spark, sf_dir).withColumns(given), zips, F.lit("2024-05-01T00:00:00Z"))
+
+
+_SOURCE = "coalesce(CASE WHEN place % 13 = 0 THEN 'county' WHEN place % 17 > 0 THEN source END, 'unknown')"
+
+
+@query(_WHOLE + f"""SELECT place AS id, neighborhood, CASE WHEN place % 2 = 0 THEN 'Rockville' ELSE '' END AS city, CASE WHEN place % 4 = 1 THEN 'produce,dairy' ELSE '' END AS food_types, mode AS transit_type,
+ CASE mode WHEN 'metro' THEN 'RD,GR' WHEN 'bus' THEN '70' END AS transit_lines, CASE WHEN mode = 'metro' THEN 600e0 END AS transit_metres, CASE WHEN place % 10 = 0 THEN 'watch' END AS alert, {_SOURCE} AS source_id,
+ CASE {_SOURCE} WHEN 'cafb' THEN 'Capital Area Food Bank' WHEN 'mdfb-find-food' THEN 'Maryland Food Bank' WHEN 'two11md' THEN '211 Maryland' WHEN 'two11va' THEN '211 Virginia' WHEN 'mocofood' THEN 'Montgomery County Food Council' ELSE {_SOURCE} END AS source_name,
+ CASE WHEN place % 6 = 0 THEN source || ',other' ELSE {_SOURCE} END AS source_ids, CASE WHEN place % 6 = 0 THEN 2 ELSE 1 END AS n_sources, accepts_food, accepts_money, accepts_volunteers, CASE WHEN place % 5 = 0 THEN 'https://give.example/' || place END AS donate_url,
+ CASE WHEN place % 7 = 0 THEN 'https://help.example/' END AS volunteer_url, CASE WHEN gap > 0.01 THEN CASE WHEN gap >= 0.06 THEN 'high' WHEN gap >= 0.03 THEN 'medium' ELSE 'low' END END AS urgency, CASE WHEN gap > 0.01 THEN round(gap / 0.03, 1) END AS multiplier, '2024-05-01T00:00:00Z' AS created_at, '2024-05-01T00:00:00Z' AS updated_at FROM shown""")
+def exported_whole(spark, sf_dir):
+    """Every field that ``export_records`` doesn't show, flat."""
+    listed = {n: F.array_join(c, ",").alias(n) for n, c in (("food_types", "foodTypes"), ("transit_lines", "nearestTransitLines"), ("source_ids", "sourceIds"))}
+    named = {"transit_type": "nearestTransitType", "transit_metres": "transitDistanceMeters", "alert": "weatherAlert.alertLevel", "source_id": "sourceId", "source_name": "sourceName", "n_sources": "crossSourceCount", "accepts_food": "acceptsFoodDonations", "accepts_money": "acceptsMoneyDonations", "accepts_volunteers": "acceptsVolunteers", "donate_url": "donateUrl", "volunteer_url": "volunteerUrl", "urgency": "urgency.level", "multiplier": "urgency.multiplier", "created_at": "createdAt", "updated_at": "updatedAt"}
+    return _whole(spark, sf_dir).select("id", "neighborhood", "city", *listed.values(), *[F.col(c).alias(n) for n, c in named.items()])
+
+
+_STATE = "CASE WHEN place % 2 = 0 THEN 'MD' ELSE 'other' END"
+
+
+@query(_WHOLE + f"""SELECT 'total' AS kind, 'organizations' AS name, count(*) AS n FROM shown UNION ALL SELECT 'byState', s, count(*) FILTER (WHERE {_STATE} = s) FROM shown, (VALUES ('MD'), ('VA'), ('DC'), ('other')) AS v(s) GROUP BY s
+ UNION ALL SELECT 'bySource', s, count(*) FILTER (WHERE CASE WHEN {_SOURCE} IN ('county', 'unknown') THEN 'other' ELSE {_SOURCE} END = s) FROM shown, (VALUES ('cafb'), ('mdfb-find-food'), ('two11md'), ('two11va'), ('mocofood'), ('other')) AS v(s) GROUP BY s
+ UNION ALL SELECT 'coverage', c, count(*) FILTER (WHERE CASE c WHEN 'hours' THEN coalesce(length(hours) > 0, false) WHEN 'coords' THEN true WHEN 'heroCopy' THEN hero_copy IS NOT NULL WHEN 'website' THEN website IS NOT NULL WHEN 'foodTypes' THEN place % 4 = 1 WHEN 'languages' THEN true
+  WHEN 'transit' THEN mode IS NOT NULL WHEN 'metro' THEN place % 3 > 0 WHEN 'bus' THEN place % 4 > 1 ELSE place % 10 = 0 END) FROM shown, (VALUES ('hours'), ('coords'), ('heroCopy'), ('website'), ('foodTypes'), ('languages'), ('transit'), ('metro'), ('bus'), ('weatherAlerts')) AS v(c) GROUP BY c""")
+def export_file_metadata(spark, sf_dir):
+    """The metadata that was observed while the export was written."""
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    export.write_export(_whole(spark, sf_dir), path)
+    return export.read_metadata(spark, path)
+
+
 @query(WITH + "SELECT place, place_name || chr(10) || '1 Main St' || CASE WHEN phone IS NOT NULL THEN chr(10) || phone ELSE '' END || CASE WHEN length(hours) > 0 THEN chr(10) || hours ELSE '' END AS text FROM place")
 def share_texts(spark, sf_dir):
     return places(spark, sf_dir).select("place", export.share_text(F.col("place_name"), F.lit("1 Main St"), F.col("phone"), F.col("hours")).alias("text"))
