@@ -7,10 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text
-from tessera.operators import lookup
+from tessera.functions import geo, text
+from tessera.operators import asof, lookup
 from tessera.plans.catalogue import query
-from tessera.plans.domain import WITH, records
+from tessera.plans.domain import WITH, places, records
 from tessera.session import shared_folder, table
 from tessera.sources.fetching import FetchedPages
 from tessera.sources.versions import Versions
@@ -116,3 +116,32 @@ def rejected_lines(spark, sf_dir):
 def ingest_audit(spark, sf_dir):
     audit = ingest.audit(spark, _ingested(spark, sf_dir))
     return audit.agg(F.count("*").alias("n_batches"), *[F.sum(c).alias(c) for c in ("n_lines", "n_events", "n_rejected")])
+
+
+_DATED = "CAST(l_shipdate AS TIMESTAMP) AS since, CASE WHEN l_linenumber = 1 THEN 10e0 ELSE 38.5e0 + (l_partkey % 1000) / 1000e0 END AS lat, -77.0e0 AS lon"
+_STOPS = f"""WITH asked AS (SELECT o_orderkey, o_custkey % 40 AS stop, CAST(o_orderdate AS TIMESTAMP) AS moment FROM orders)
+, cached AS (SELECT stop, since, max(lat) AS lat FROM (SELECT l_suppkey % 40 AS stop, {_DATED} FROM lineitem WHERE l_orderkey % 97 < 8 AND l_suppkey % 3 = 0) WHERE lat > 37.5 GROUP BY stop, since)
+, served AS (SELECT stop, since, max(lat) AS lat FROM (SELECT l_suppkey % 40 AS stop, {_DATED} FROM lineitem WHERE l_orderkey % 89 < 8 AND l_suppkey % 40 % 2 = 0) WHERE lat > 37.5 GROUP BY stop, since)
+, listed AS (SELECT s_suppkey % 50 AS stop, min(38.5e0 + ((s_suppkey * 53) % 1000) / 1000e0) AS lat FROM supplier WHERE s_suppkey % 50 < 35 GROUP BY 1)
+, first AS (SELECT a.*, c.since AS c_since, c.lat AS c_lat FROM asked a ASOF LEFT JOIN cached c ON a.stop = c.stop AND a.moment >= c.since)
+, second AS (SELECT f.*, s.since AS s_since, s.lat AS s_lat FROM first f ASOF LEFT JOIN served s ON f.stop = s.stop AND f.moment >= s.since)
+, told AS (SELECT t.*, l.lat AS l_lat, CASE WHEN date_diff('second', c_since, moment) < 90 * 86400 THEN 'cache' WHEN s_since IS NOT NULL THEN 'service' WHEN l.lat IS NOT NULL THEN 'static' ELSE 'none' END AS answered_by FROM second t LEFT JOIN listed l ON t.stop = l.stop)
+"""
+
+
+@query(_STOPS + "SELECT o_orderkey, answered_by, CASE answered_by WHEN 'cache' THEN c_lat WHEN 'service' THEN s_lat WHEN 'static' THEN l_lat END AS lat FROM told")
+def stops_asked_for(spark, sf_dir):
+    """Where a stop was, for each request at its time: by the cache if it was fresh, by the service, or by the fixed list."""
+    asked = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 40 AS stop", "CAST(o_orderdate AS TIMESTAMP) AS at")
+    dated = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_suppkey", "l_suppkey % 40 AS stop", *_DATED.split(", ", 1)[:1], "CASE WHEN l_linenumber = 1 THEN 10e0 ELSE 38.5e0 + (l_partkey % 1000) / 1000e0 END AS lat", "-77.0e0 AS lon")
+    static = table(spark, sf_dir, "supplier").where("s_suppkey % 50 < 35").selectExpr("s_suppkey % 50 AS stop", "38.5e0 + ((s_suppkey * 53) % 1000) / 1000e0 AS lat", "-77.0e0 AS lon")
+    found = asof.stops_as_of(asked, dated.where("l_orderkey % 97 < 8 AND l_suppkey % 3 = 0"), dated.where("l_orderkey % 89 < 8 AND stop % 2 = 0"), static, "at", 90)
+    return found.select("o_orderkey", "answered_by", "lat")
+
+
+@query(WITH + ", keyed AS (SELECT place, printf('%.4f', floor(place_lat * 10000 + 0.5e0) / 10000) || '_' || printf('%.4f', floor(place_lon * 10000 + 0.5e0) / 10000) AS cell, balance FROM place) SELECT place, cell, first_value(balance) OVER (PARTITION BY cell ORDER BY place) AS shared FROM keyed")
+def stops_shared_by_place(spark, sf_dir):
+    """What was found for the first record at a place, to four decimals, goes for all records there."""
+    rows = places(spark, sf_dir).select("place", "place_lat", "place_lon", F.col("balance").alias("shared"))
+    key = geo.cell_key(F.col("place_lat"), F.col("place_lon"), 4)
+    return lookup.shared_by_first(rows, key, "place", ["shared"]).select("place", geo.cell_key(F.col("place_lat"), F.col("place_lon"), 4).alias("cell"), "shared")
