@@ -12,6 +12,7 @@ from tessera.operators import asof, lookup
 from tessera.plans.catalogue import query
 from tessera.plans.domain import WITH, places, records
 from tessera.session import shared_folder, table
+from tessera.sources import external
 from tessera.sources.fetching import FetchedPages
 from tessera.sources.versions import Versions
 from tessera.streaming import ingest
@@ -145,3 +146,36 @@ def stops_shared_by_place(spark, sf_dir):
     rows = places(spark, sf_dir).select("place", "place_lat", "place_lon", F.col("balance").alias("shared"))
     key = geo.cell_key(F.col("place_lat"), F.col("place_lon"), 4)
     return lookup.shared_by_first(rows, key, "place", ["shared"]).select("place", geo.cell_key(F.col("place_lat"), F.col("place_lon"), 4).alias("cell"), "shared")
+
+
+def directions_service(row: dict) -> dict:
+    """A service that of seven requests answers four, is too busy for one, refuses one and never ends one."""
+    match row["place"] % 7:
+        case 3:
+            raise external.failure_of(429)
+        case 5:
+            raise external.failure_of(404)
+        case 6:
+            raise TimeoutError
+    return {"directions": f"Route {row['place']}", "recommended": "asked"}
+
+
+_MODES = WITH + """, asked AS (SELECT place, CASE WHEN place % 3 > 0 THEN 'Fort Totten' END AS metro, 'RD/GR' AS metro_lines, 1 + place % 20 AS metro_minutes, CASE WHEN place % 4 > 1 THEN '70' END AS bus, 2 + place % 15 AS bus_minutes FROM place)"""
+
+
+@query(_MODES + """, own AS (SELECT *, 'Take the ' || metro_lines || ' line to ' || metro || ', then walk ' || metro_minutes || ' minutes.' AS m, 'Take bus ' || bus || ', then walk ' || bus_minutes || ' minutes.' AS b FROM asked)
+SELECT place, CASE WHEN place % 7 IN (3, 5, 6) THEN nullif(concat_ws(' ', m, b), '') ELSE 'Route ' || place END AS directions,
+ CASE WHEN place % 7 NOT IN (3, 5, 6) THEN 'asked' WHEN m IS NOT NULL AND (b IS NULL OR metro_minutes <= bus_minutes) THEN 'metro' WHEN b IS NOT NULL THEN 'bus' END AS recommended,
+ CASE place % 7 WHEN 3 THEN 'own:retries' WHEN 5 THEN 'own:ValueError' WHEN 6 THEN 'own:timeout' ELSE 'ok' END AS status, CASE WHEN place % 2 = 0 THEN 'hit' ELSE 'miss' END AS cache_state FROM own""")
+def transit_directions(spark, sf_dir):
+    """Directions through the hook, by our own rules where the service fails; the second run asks for what the first didn't."""
+    fields = ["CASE WHEN place % 3 > 0 THEN 'Fort Totten' END AS metro", "'RD/GR' AS metro_lines", "1 + place % 20 AS metro_minutes", "CASE WHEN place % 4 > 1 THEN '70' END AS bus", "2 + place % 15 AS bus_minutes"]
+    rows = places(spark, sf_dir).selectExpr("place", "CAST(place AS STRING) AS key", *fields)
+    cache = Versions(spark, f"{shared_folder(spark)}/directions-{uuid.uuid4().hex}", "key string, directions string, recommended string, status string")
+    patience = external.Patience(2, {external.Throttled: 0.0, external.Retry: 0.0})
+
+    def fetch(keys):
+        return external.enrich(rows.join(keys, "key"), directions_service, "directions string, recommended string", patience, external.directions).select("key", "directions", "recommended", "status")
+
+    lookup.answered(rows.where("place % 2 = 0"), cache, "key", fetch)
+    return lookup.answered(rows, cache, "key", fetch).select("place", "directions", "recommended", "status", "cache_state")
