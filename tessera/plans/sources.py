@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.plans.catalogue import query
 from tessera.plans.domain import WITH, places, records
 from tessera.session import table
-from tessera.sources import files, pages
+from tessera.sources import files, pages, sites
 
 
 @query()
@@ -17,6 +17,29 @@ def page_records(spark, sf_dir):
     return pages.page_records(table(spark, sf_dir, "pages"))
 
 
+#: Each site's own limits: elements beside a heading, letters of a name, a heading that is none, and what words tell.
+_SITES = {"net": (2, 3, 150, "no such heading", {"the": "services:hot_meals"}), "com": (4, 3, 60, "Thing.", {"que": "requirements:walk_in", "ing": "services:delivery"}), "org": (1, 10, 80, "Inouin of on.", {"erea|oua": "food_types:produce"})}
+_CLEAN = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))"
+
+
+def _tags(column: str) -> str:
+    """SQL for the tags of a column, in the order of the taxonomy."""
+    told = [f"CASE WHEN site = '{s}' AND regexp_matches(text, '(?i){p}') THEN '{t.partition(':')[2]}' END" for s, rule in _SITES.items() for p, t in rule[4].items() if t.startswith(column)]
+    return f"concat_ws(',', {', '.join(told)})"
+
+
+@query(rf"""WITH rules AS (SELECT * FROM (VALUES {', '.join(f"('{s}', {n}, {least}, {most}, '{no.lower()}')" for s, (n, least, most, no, _) in _SITES.items())}) AS r(site, siblings, least, most, rejected))
+, parts AS (SELECT page_id, regexp_extract(url, '://[^/?#]*\.([a-z]+)[/?#:]', 1) AS site, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h, string_split(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<p>')[2:] AS ps FROM pages)
+, named AS (SELECT page_id, site, {_CLEAN.format('h')} AS name, concat_ws(' ', nullif({_CLEAN.format('h')}, ''), nullif(array_to_string(list_filter(list_transform(ps[1:siblings], lambda x: {_CLEAN.format('x')}), lambda x: x <> ''), ' '), '')) AS text, least, most, rejected FROM parts JOIN rules USING (site))
+SELECT page_id, site, name, md5(text) AS text_md5, {_tags('services')} AS services, {_tags('requirements')} AS requirements, {_tags('food_types')} AS food_types FROM named WHERE length(name) BETWEEN least AND most AND lower(name) <> rejected""")
+def site_records(spark, sf_dir):
+    """The records of all pages, each site's by a row of rules of its own."""
+    rows = [(s, "heading", ["article", "body"], ["h1", "h2", "h3"], n, least, most, [no], None, None, taxonomy) for s, (n, least, most, no, taxonomy) in _SITES.items()]
+    rules = spark.createDataFrame(rows, sites.RULES)
+    found = sites.site_records(table(spark, sf_dir, "pages"), rules, F.regexp_extract("url", r"://[^/?#]*\.([a-z]+)[/?#:]", 1))
+    return found.select("page_id", "site", "name", F.md5("text").alias("text_md5"), *[F.array_join(c, ",").alias(c) for c in ("services", "requirements", "food_types")])
+
+
 _CHAIN = """WITH told AS (SELECT o_custkey % 7 AS site, 1 + o_orderkey % 12 AS page, CAST(floor(o_totalprice) AS BIGINT) % 300 AS name, o_orderkey FROM orders)
 , first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, name ORDER BY page, o_orderkey) AS rn FROM told WHERE page <= 10) WHERE rn = 1)
 , stop AS (SELECT s.site, min(p.page) AS stop FROM (SELECT DISTINCT site FROM told) s CROSS JOIN (SELECT unnest(range(1, 12)) AS page) p WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.site = s.site AND f.page = p.page) GROUP BY s.site)
