@@ -26,8 +26,9 @@ def main() -> None:
         from tessera.llm import catalogue as llm
 
         queries |= llm.QUERIES
-    except ImportError:
-        pass
+    except ModuleNotFoundError as missing:
+        if missing.name != "tessera.llm":  # anything else that is missing is a fault
+            raise
     spark.range(1).count()
     took = {}
     for name, query in queries.items():

@@ -85,10 +85,6 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), "/+$", ""), "^http://", "https://"), r"^https://www\.", "https://")
 
 
-def valid_website(url: Column) -> Column:
-    return F.when(F.startswith(url, F.lit("http")), url)
-
-
 def full_address(address: Column, city: Column, state: Column, zip_code: Column) -> Column:
     """The address with city, state and postal code where it doesn't hold them already."""
     def also(c: Column, known: Column) -> Column:

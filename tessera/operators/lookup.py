@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.functions.blank import has_number
-from tessera.functions.text import clean_name
 from tessera.sources.versions import Versions
 
 
@@ -88,11 +87,6 @@ def enrich_by_url(records: DataFrame, pages: DataFrame, url_key: Column, page_ke
     return out.withColumn(value, F.when(F.length(value) > 0, F.col(value)).otherwise(F.col("__value"))).drop("__url", "__value")
 
 
-def name_match(records: DataFrame, table: DataFrame, name: str = "name") -> DataFrame:
-    """Records with the table's row of the same clean name."""
-    return records.join(table.withColumn("__name", clean_name(F.col("known_name"))), clean_name(F.col(name)) == F.col("__name"), "left").drop("__name")
-
-
 def by_cell(rows: DataFrame, fetched: DataFrame, at: tuple[str, str], of: tuple[str, str], value: str, places: int = 1) -> DataFrame:
     """Rows with the ``value`` that was fetched for their coordinates rounded to ``places``; the least of several, null
     without one."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.hours import iso
@@ -66,10 +66,6 @@ def tag_counts(rows: DataFrame, tags: str) -> DataFrame:
     return rows.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag")
 
 
-def tiers_of(rows: DataFrame, column: str) -> DataFrame:
-    return rows.groupBy(column).agg(F.count("*").alias("n"))
-
-
 # Events that are shown, their level, and whether they affect travel.
 RELEVANT_ALERTS = [
     ("Tornado Warning", "warning", True),
@@ -104,21 +100,29 @@ RELEVANT_ALERTS = [
 ]
 
 
+#: What an alert says of itself.
+ALERT_TEXTS = ["headline", "description", "instruction", "onset", "expires"]
+
+
 def relevant_alerts(spark: SparkSession) -> DataFrame:
     """``event, level, affects_travel`` of the events that are shown."""
     return spark.createDataFrame(RELEVANT_ALERTS, "event string, level string, affects_travel boolean")
 
 
 def worst_alert(alerts: DataFrame, relevant: DataFrame, key: str) -> DataFrame:
-    """The gravest alert of each key: by severity, then level; the first of equals. ``relevant``: event, level, affects_travel."""
+    """The gravest alert of each key: by severity, then level; the first of equals. ``relevant``: event, level, affects_travel.
+
+    What else the alerts tell (headline, description, instruction, how long they hold) is kept of the gravest one.
+    """
     severity = F.create_map(*[F.lit(x) for p in SEVERITY.items() for x in p])
     level = F.create_map(*[F.lit(x) for p in LEVEL.items() for x in p])
     known = alerts.join(F.broadcast(relevant), "event")  # a fixed list of events
     grade = F.coalesce(F.try_element_at(severity, F.col("severity")), F.lit(0)) * 10 + F.element_at(level, F.col("level"))
     known = known.withColumn("grade", grade)
     best = F.struct(-F.col("grade"), F.col("ord"))
+    told = [c for c in ALERT_TEXTS if c in alerts.columns]
     return known.groupBy(key).agg(
-        F.count("*").alias("n_alerts"), F.count_if("affects_travel").alias("n_travel"), F.max("grade").alias("grade"), *[F.min_by(c, best).alias(c) for c in ("event", "severity", "level", "ord")]
+        F.count("*").alias("n_alerts"), F.count_if("affects_travel").alias("n_travel"), F.max("grade").alias("grade"), *[F.min_by(c, best).alias(c) for c in ("event", "severity", "level", "ord", *told)]
     )
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import enrichment, export
 from tessera.plans.catalogue import query
 from tessera.plans.domain import WITH, areas, places
@@ -146,6 +147,19 @@ def feature_export(spark, sf_dir):
     return features.select(F.get_json_object("feature", "$.properties.area").cast("int").alias("area"), F.get_json_object("feature", "$.properties.label").alias("label"))
 
 
+@query(WITH + "SELECT '{' || string_agg('\"' || area || '\":\"' || label || '\"', ',' ORDER BY area) || '}' AS document FROM area")
+def area_names_document(spark, sf_dir):
+    """One document of the areas' names, of which there is a set number."""
+    return files.as_map_document(areas(spark, sf_dir).orderBy("area").coalesce(1), "area", "label")
+
+
+@query(WITH + "SELECT place, CASE WHEN length(hours) = 0 OR hours IS NULL THEN NULL ELSE place % 4 < 2 OR NOT regexp_matches(hours, '[0-9]') END AS told FROM place")
+def hours_are_in_text(spark, sf_dir):
+    """Whether the numbers of a record's hours stand in the text that they are said to be of; here every other two of four have none."""
+    source = F.when(F.col("place") % 4 < 2, F.concat(F.lit("We are open "), F.upper("hours"))).otherwise("We are open at times.")
+    return places(spark, sf_dir).select("place", F.when(F.length("hours") > 0, text.occurs_in(F.col("hours"), source)).alias("told"))
+
+
 @query("SELECT item_id, text AS translated, 'ok' AS status FROM benchmark")
 def translation_hook(spark, sf_dir):
     return external.enrich(table(spark, sf_dir, "benchmark"), external.untranslated, "translated string").select("item_id", "translated", "status")

@@ -130,7 +130,8 @@ def _alerts(spark, sf_dir):
     names = {"error": "Tornado Warning", "click": "Flood Watch", "signup": "Wind Advisory", "view": "Special Weather Statement"}
     event = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("event_type")), F.lit("Sale"))
     severity = F.element_at(F.array(*map(F.lit, ["Extreme", "Severe", "Minor", "Odd"])), (F.floor("value") % 4 + 1).cast("int"))
-    rows = events(spark, sf_dir).select((F.col("user_id") % 40).alias("cell"), F.col("event_id").alias("ord"), event.alias("event"), severity.alias("severity"))
+    rows = events(spark, sf_dir).select((F.col("user_id") % 40).alias("cell"), F.col("event_id").alias("ord"), event.alias("event"), severity.alias("severity"), "ts", "value")
+    rows = rows.select("*", F.concat(F.lit("Alert "), F.col("ord").cast("string")).alias("headline"), F.when(F.col("value") > 50, "Stay inside.").alias("instruction"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("expires"))
     return metrics.worst_alert(rows, metrics.relevant_alerts(spark), "cell")
 
 
@@ -139,6 +140,11 @@ def worst_alert_per_cell(spark, sf_dir):
     return _alerts(spark, sf_dir).select("cell", "event", "severity", "grade", "ord", "n_alerts", "n_travel")
 
 
+@query(_ALERTS + "SELECT r.cell, 'Alert ' || r.ord AS headline, CASE WHEN e.value > 50 THEN 'Stay inside.' END AS instruction, strftime(e.ts + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS expires FROM ranked r JOIN events e ON e.event_id = r.ord WHERE rn = 1")
+def worst_alert_texts(spark, sf_dir):
+    return _alerts(spark, sf_dir).select("cell", "headline", "instruction", F.date_format("expires", "yyyy-MM-dd HH:mm:ss").alias("expires"))
+
+
 @query(_ALERTS + "SELECT c_custkey AS place, event FROM customer LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) ON cell = c_custkey % 50")
 def alert_for_place(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("place"), (F.col("c_custkey") % 50).alias("cell"))

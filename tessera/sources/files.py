@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import shared_folder
+
 EVENT = "event string, ts timestamp, receivedAt timestamp, zip string, filters array<string>, orgId string, orgName string, fromPage string, filter string, value boolean, page string"
 
 
@@ -40,10 +43,6 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(path)
 
 
-def append_events(rows: DataFrame, path: str) -> None:
-    rows.withColumn("receivedAt", F.current_timestamp()).write.mode("append").json(path)
-
-
 def richest(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
     """The first of the paths that can be read: later stages' results stand before earlier ones'."""
     for path in paths:
@@ -66,16 +65,23 @@ def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def collect_sources(sources: dict[str, Callable[[], DataFrame]], enabled: list[str]) -> tuple[DataFrame | None, dict[str, str]]:
-    """The union of the enabled sources and what became of each; one that fails doesn't stop the others."""
+    """The union of the enabled sources and what became of each; one that fails doesn't stop the others.
+
+    Each source is read to its end and written to the shared folder at once, so that one that fails only when its rows are
+    made is left out too, and none of its rows get into the union.
+    """
     frames, status = [], {}
     for name in enabled:
         if name not in sources:
             raise KeyError(f"no source is called {name}")
         try:
-            frames.append(sources[name]().withColumn("source_id", F.lit(name)))
+            rows = sources[name]().withColumn("source_id", F.lit(name))
+            path = f"{shared_folder(rows.sparkSession)}/source-{uuid.uuid4().hex}"
+            rows.write.parquet(path)
+            frames.append(rows.sparkSession.read.schema(rows.schema).parquet(path))
             status[name] = "ok"
         except Exception as e:  # a source's own failure is a status
-            status[name] = f"error: {e}"[:200]
+            status[name] = f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}"[:200]
     return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None), status
 
 

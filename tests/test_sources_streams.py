@@ -26,6 +26,13 @@ def test_sources_are_isolated(spark):
     assert frame.count() == 1 and status["good"] == "ok" and status["bad"].startswith("error")
 
 
+def test_a_source_that_fails_when_read_gives_no_rows(spark):
+    late = F.udf(lambda k: 1 // (k - 7), "long")
+    sources = {"good": lambda: spark.range(3), "late": lambda: spark.range(10).select(late("id").alias("id"))}
+    frame, status = files.collect_sources(sources, ["good", "late"])
+    assert {r["source_id"] for r in frame.collect()} == {"good"} and frame.count() == 3 and status["late"].startswith("error")
+
+
 def test_page_strategies(spark):
     html = "<nav><li>Menu 301-555-1234 here</li></nav><h2>Food Hub</h2><p>12 Main Street</p><p>301-555-0000 MD 20850</p><table><tr><td>Bank</td><td>301-555-9999</td></tr><tr><td>x</td></tr></table><ul><li>Pantry, 5 Oak Ave, open daily</li><li>short</li></ul>"
     rows = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
