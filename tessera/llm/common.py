@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,22 +10,21 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute in all modules
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import shared_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the shared folder, so that a lost executor costs no recomputation of what led to it.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where nothing is set (as in tests on one machine)
-    a temporary one is made.
+    The folder is the one that ``spark.checkpoint.dir`` names; only where nothing is set and all runs on one machine (as in
+    tests) a temporary one is made. On a cluster without that setting this is an error.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoints-"))
+    shared_folder(spark)
 
 
 def staged(df: DataFrame, until: list[tuple[str, DataFrame]] | None = None) -> DataFrame:
