@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -42,12 +43,22 @@ def staged(df: DataFrame, until: list[tuple[str, DataFrame]] | None = None) -> D
 
 
 def emptied(tables: list[tuple[str, DataFrame]]) -> None:
-    """Give back the room of staged tables that nothing will read again, and forget them."""
+    """Give back the room of staged tables that nothing will read again, and forget them.
+
+    The shuffle files of the steps that are done go when the driver collects its garbage, so it is asked to.
+    """
     for path, table in tables:
         table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(path)
+        released(table.sparkSession)
     tables.clear()
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files and broadcasts that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, emptied, slices, staged
+from tessera.llm.common import column, emptied, released, slices, staged
 
 SLICE, SPLIT, MIN_WORDS = 1 << 20, 24, 5
 #: Blocks of the scripts that put no spaces between words (Thai to Khmer, Japanese, Chinese).
@@ -132,7 +132,9 @@ def removed_spans(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_
     listed = staged(_listed(rows, kind, min_words), held)
     order = F.struct(F.col("key").isNull(), "key", "tie", "begin")
     firsts = listed.groupBy("high", "low").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    again = listed.join(staged(firsts), ["high", "low"]).where(~order.eqNullSafe(F.col("first"))).select("key", "tie", "begin", "end")
+    repeated = staged(firsts)
+    released(docs.sparkSession)
+    again = listed.join(repeated, ["high", "low"]).where(~order.eqNullSafe(F.col("first"))).select("key", "tie", "begin", "end")
     spans = again.groupBy("key", "tie").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     spans = staged(spans.withColumnRenamed("key", id_col))
     emptied(held)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, cut, emptied, ramp, slices, staged
+from tessera.llm.common import column, cut, emptied, ramp, released, slices, staged
 from tessera.llm.components import components
 
 SLICE, CROWD = 1 << 20, 128
@@ -346,23 +346,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
         return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64()))})
 
     early: list[tuple[str, DataFrame]] = []
+    middle: list[tuple[str, DataFrame]] = []
     late: list[tuple[str, DataFrame]] = []
     every = staged(rows.mapInArrow(sets, f"key {kind}, node long, n int, first binary"), late)
-    keys = staged(every.select("node", "n", "first").mapInArrow(prefixes, "token long, pos int, n int, node long, hot boolean"), early)
-    hot = keys.where("hot").drop("hot").distinct()
+    keys = every.select("node", "n", "first").mapInArrow(prefixes, "token long, pos int, n int, node long, hot boolean")
+    hot = staged(keys.where("hot").drop("hot").distinct(), early)
     heads = hot.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("one"), F.count("*").alias("nodes")).where("nodes > 1")
     heads = staged(heads.select("token", F.col("one.pos").alias("head_pos"), F.col("one.n").alias("head_n"), F.col("one.node").alias("head")))
     hot = hot.join(heads, "token").where(F.col("pos") + similarity * F.col("head_pos") <= (1 - similarity) * F.col("n") + 1e-6).select("token", "pos", "n", "node", "head_pos", "head_n", "head")  # adaptive execution splits it at crowded shingles
     cold = keys.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token", "pos", "node")
-    keyed = staged(hot.unionByName(cold.mapInArrow(met, "token long, pos int, n int, node long, head_pos int, head_n int, head long")), late)
+    keyed = staged(hot.unionByName(cold.mapInArrow(met, "token long, pos int, n int, node long, head_pos int, head_n int, head long")), middle)
     emptied(early)
     least = similarity / (1 + similarity)
     near = keyed.where("node != head").where(_may_meet(F.col("pos"), F.col("n"), F.col("head_pos"), F.col("head_n"), least))
     found = [verified(near.select(F.col("node").alias("a"), F.col("head").alias("b")))]
     label = cut(components(found[0]))
+    released(docs.sparkSession)
     now = staged(keyed.select("token", "pos", "n", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), late)
+    emptied(middle)
     several = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
     left = staged(now.join(several, "token"), late)
+    released(docs.sparkSession)
     if not left.isEmpty():
         found += _rest(left, label, sets_of, least, verified, meet)
         label = cut(components(reduce(DataFrame.union, found)))
