@@ -27,6 +27,22 @@ def first_email(text: Column) -> Column:
     return blank_to_null(F.regexp_extract(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0))
 
 
+#: A day's name, short or long, and a span of hours of the same line.
+_CLOCK = r"\d{1,2}(?::\d{2})?\s*[aApP][mM]"
+HOURS = rf"(?:{'|'.join(f'{d[:3]}(?:{d[3:]})?' for d in ('Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'))})[ ,\u2013-]+{_CLOCK}\s*(?:-|\u2013|to)\s*{_CLOCK}"
+URL = r"https?://[^\s)>\"']+"
+
+
+def all_hours(text: Column) -> Column:
+    """Every span of hours after a day's name, as it stands there, with semicolons between; null without one."""
+    return blank_to_null(F.array_join(F.regexp_extract_all(text, F.lit(HOURS), F.lit(0)), "; "))
+
+
+def first_url(text: Column) -> Column:
+    """The first address of the web, without the marks that end a sentence."""
+    return blank_to_null(F.regexp_replace(F.regexp_extract(text, URL, 0), "[.,;:!?]+$", ""))
+
+
 def slug(name: Column) -> Column:
     dashed = F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "-")
     return F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 60)

@@ -97,3 +97,18 @@ def service_overlap(spark, sf_dir):
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '^(?i:page )?\\d+$'))) AS n_blocks FROM documents")
 def text_block_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(pages.text_blocks(F.col("text"))).cast("long").alias("n_blocks"))
+
+
+#: Documents whose every third line begins a block.
+_PAGED = r"regexp_replace(text, '\n([^\n]*)\n([^\n]*)\n', chr(10) || '\1' || chr(10) || '\2' || chr(10) || ' ' || chr(10), 'g')"
+
+
+@query(rf"""WITH blocks AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({_PAGED}, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:page )?\d+$')) AS bs FROM documents)
+, told AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS block, list_filter(list_transform(string_split(bs[k], chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM (SELECT doc_id, bs, unnest(range(1, len(bs) + 1)) AS k FROM blocks))
+, said AS (SELECT doc_id, block, ls[1] AS name, array_to_string(ls, ' ') AS t FROM told)
+, found AS (SELECT doc_id, block, name, md5(t) AS text_md5, nullif(regexp_extract(t, '{pages.PHONE}'), '') AS phone, nullif(regexp_extract(t, '{pages.ADDRESS}'), '') AS address, nullif(regexp_extract(t, '(?:^|[^0-9])([0-9]{{5}})(?:[^0-9]|$)', 1), '') AS zip FROM said WHERE length(name) BETWEEN 3 AND 150)
+SELECT * FROM found WHERE coalesce(phone, address, zip) IS NOT NULL""")
+def text_block_records(spark, sf_dir):
+    paged = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\n([^\n]*)\n([^\n]*)\n", "\n$1\n$2\n \n").alias("text"))
+    found = pages.block_records(paged, "doc_id", "text")
+    return found.select("doc_id", "block", "name", F.md5("text").alias("text_md5"), "phone", "address", "zip")

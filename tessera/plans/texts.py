@@ -17,6 +17,15 @@ def contact_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.first_phone(F.col("text")).alias("phone"), text.first_email(F.col("text")).alias("email"))
 
 
+_SAID = "'Open Monday 9am - 5pm, Sat 10:00 am to 2 pm' || CASE place % 3 WHEN 0 THEN ' and Wed, 8 PM-10 PM.' WHEN 1 THEN '; closed Sunday.' ELSE '' END || ' See ' || CASE WHEN place % 4 > 0 THEN 'https://place.example/' || place || '?x=(1).' ELSE 'us.' END"
+
+
+@query(WITH + rf"""SELECT place, array_to_string(regexp_extract_all(said, '{text.HOURS.replace(chr(92) + 'u2013', chr(0x2013))}'), '; ') AS hours, nullif(regexp_replace(regexp_extract(said, 'https?://[^\s)>"'']+'), '[.,;:!?]+$', ''), '') AS url FROM (SELECT place, {_SAID} AS said FROM place)""")
+def hours_and_url_extract(spark, sf_dir):
+    said = F.expr(_SAID.replace("|| place ||", "|| CAST(place AS STRING) ||"))
+    return places(spark, sf_dir).select("place", text.all_hours(said).alias("hours"), text.first_url(said).alias("url"))
+
+
 @query(WITH + "SELECT place, '(301) 555-' || CAST(1000 + place % 9000 AS STRING) AS phone FROM place WHERE phone IS NOT NULL")
 def phone_normalize(spark, sf_dir):
     return places(spark, sf_dir).where("phone IS NOT NULL").select("place", text.phone(F.col("phone")).alias("phone"))

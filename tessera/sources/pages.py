@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from tessera.functions.blank import blank_to_null
+
 #: Patterns of contact fields, shared by all extractions.
 PHONE = r"\(?\d{3}\)?[\s.-]?\d{3}[\s.-]\d{4}"
 ADDRESS = r"\d+\s+[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+(?:St|Street|Ave|Avenue|Rd|Road|Blvd|Dr|Drive|Ln|Lane|Pike|Hwy)\b"
@@ -142,6 +144,20 @@ def text_blocks(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda b: (b != "") & ~b.rlike(r"^(?i:page )?\d+$"))
 
 
+def block_records(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, block, name, text, phone, address, zip`` of the blocks of each text that tell of a place.
+
+    A block's name is its first line, of 3 to 150 letters; it needs a telephone number, an address or a postal code.
+    Blocks are numbered from 0 as they stand in the text, page numbers left out.
+    """
+    rows = texts.select(key, F.posexplode(text_blocks(F.col(text))).alias("block", "__block"))
+    lines = F.filter(F.transform(F.split("__block", "\n"), F.trim), lambda line: line != "")
+    rows = rows.select(key, "block", F.get(lines, F.lit(0)).alias("name"), F.array_join(lines, " ").alias("text"))
+    zips = blank_to_null(F.regexp_extract("text", r"(?:^|[^0-9])([0-9]{5})(?:[^0-9]|$)", 1))
+    rows = rows.withColumns({"phone": blank_to_null(F.regexp_extract("text", PHONE, 0)), "address": blank_to_null(F.regexp_extract("text", ADDRESS, 0)), "zip": zips})
+    return rows.where(F.length("name").between(3, 150) & F.coalesce("phone", "address", "zip").isNotNull())
+
+
 def wide_hours(days: dict[str, Column]) -> Column:
     """``Mon: …, Tue: …`` of a column for each day; line breaks become semicolons."""
     return F.concat_ws(", ", *[F.when(F.length(F.trim(c)) > 0, F.concat(F.lit(f"{d}: "), F.regexp_replace(c, r"\r\n|\n", "; "))) for d, c in days.items()])
