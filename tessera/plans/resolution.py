@@ -116,6 +116,14 @@ def dedup_sources(spark, sf_dir):
     return _merged(spark, sf_dir).select(F.col("group").alias("grp"), F.array_join("source_ids", ",").alias("source_ids"), F.col("cross_source_count").cast("long").alias("cross_source_count"))
 
 
+@query(_GROUPS + "SELECT grp, CASE WHEN ord % 3 = 0 THEN 'step 1,step 2,step 3' WHEN ord % 3 = 1 THEN 'ask' ELSE '' END AS guide FROM ranked WHERE place = 1")
+def dedup_guide(spark, sf_dir):
+    """A merged record has its survivor's guide, three steps of it at most, and no other record's."""
+    steps = F.when(F.col("ord") % 3 == 0, F.array(*[F.lit(f"step {k}") for k in range(1, 5)])).when(F.col("ord") % 3 == 1, F.array(F.lit("ask"))).otherwise(F.array().cast("array<string>"))
+    merged = op.merge(_ranked(spark, sf_dir).withColumn("guide", steps), ["address"], ["languages"], ["accepts_food"])
+    return merged.select(F.col("group").alias("grp"), F.array_join("guide", ",").alias("guide"))
+
+
 @query(_GROUPS + "SELECT grp, count(*) AS n_records FROM groups GROUP BY grp ORDER BY n_records DESC, grp LIMIT 15")
 def dedup_dry_run(spark, sf_dir):
     return op.largest_groups(op.groups(op.links(records(spark, sf_dir), fuzzy=False))).withColumnRenamed("group", "grp")
