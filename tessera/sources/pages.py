@@ -140,8 +140,11 @@ def links(html: Column) -> Column:
 
 
 def text_blocks(text: Column) -> Column:
-    """A document's blocks between blank lines, without page numbers."""
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda b: (b != "") & ~b.rlike(r"^(?i:page )?\d+$"))
+    """A document's blocks between blank lines, without page numbers.
+
+    ``F.trim`` itself would be given the block's number too, as the character to trim.
+    """
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda b: F.trim(b)), lambda b: (b != "") & ~b.rlike(r"^(?i:page )?\d+$"))
 
 
 def block_records(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -151,7 +154,7 @@ def block_records(texts: DataFrame, key: str, text: str) -> DataFrame:
     Blocks are numbered from 0 as they stand in the text, page numbers left out.
     """
     rows = texts.select(key, F.posexplode(text_blocks(F.col(text))).alias("block", "__block"))
-    lines = F.filter(F.transform(F.split("__block", "\n"), F.trim), lambda line: line != "")
+    lines = F.filter(F.transform(F.split("__block", "\n"), lambda line: F.trim(line)), lambda line: line != "")
     rows = rows.select(key, "block", F.get(lines, F.lit(0)).alias("name"), F.array_join(lines, " ").alias("text"))
     zips = blank_to_null(F.regexp_extract("text", r"(?:^|[^0-9])([0-9]{5})(?:[^0-9]|$)", 1))
     rows = rows.withColumns({"phone": blank_to_null(F.regexp_extract("text", PHONE, 0)), "address": blank_to_null(F.regexp_extract("text", ADDRESS, 0)), "zip": zips})

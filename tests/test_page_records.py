@@ -48,3 +48,9 @@ def test_all_pages(spark):
     for r in got:
         phone, address, zips = re.search(pages.PHONE, r["text"]), re.search(pages.ADDRESS, r["text"]), re.findall(r"\b\d{5}\b", r["text"])
         assert (r["phone"], r["address"], r["zip"]) == (phone and phone[0], address and address[0], zips[-1] if zips else None)
+
+
+def test_blocks_keep_the_digits_at_their_ends(spark):
+    texts = spark.createDataFrame([(1, "0 Elm Hall\n301-555-8630 \n\n 1st Church\nMD 20811\n\npage 3\n\n2 Oak Ave\ncall 2")], "doc_id long, text string")
+    got = [(r["block"], r["name"], r["text"], r["phone"], r["zip"]) for r in pages.block_records(texts, "doc_id", "text").collect()]
+    assert got == [(0, "0 Elm Hall", "0 Elm Hall 301-555-8630", "301-555-8630", None), (1, "1st Church", "1st Church MD 20811", None, "20811"), (2, "2 Oak Ave", "2 Oak Ave call 2", None, None)]
