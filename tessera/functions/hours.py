@@ -28,50 +28,61 @@ def twelve_hour(clock: Column) -> Column:
     return F.concat(shown, F.when(minute > 0, F.concat(F.lit(":"), F.lpad(minute.cast("string"), 2, "0"))).otherwise(""), F.when(hour >= 12, "pm").otherwise("am"))
 
 
-def clock(token: Column) -> Column:
-    """``HH:MM`` of a token like ``9``, ``9:30 am`` or ``2 p.m.``; null for what is no time of day."""
-    hour = F.regexp_extract(token, _TIME, 1).cast("int")
-    minute = F.coalesce(F.regexp_extract(token, _TIME, 2).try_cast("int"), F.lit(0))
-    half = F.lower(F.replace(F.regexp_extract(token, _TIME, 3), F.lit("."), F.lit("")))
+def _bound(value: Column, rule) -> Column:
+    """``rule`` of a value that is worked out once, however often the rule names it; as a mere column it would be at each place."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
+def _clock(hour: Column, minute: Column, half: Column) -> Column:
+    """``HH:MM`` of an hour and minute, whole numbers, and ``am``, ``pm`` or nothing."""
     hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
     return F.when(hour.between(0, 23) & minute.between(0, 59), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0")))
 
 
+def clocks(text: Column) -> Column:
+    """``HH:MM`` of each time in a text like ``9``, ``9:30 am`` or ``2 p.m.``; null for what is no time of day."""
+    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(_TIME), F.lit(k)).alias(n) for k, n in ((1, "h"), (2, "m"), (3, "half"))])
+    told = F.transform(parts, lambda t: F.struct(t["h"].cast("int").alias("h"), F.coalesce(t["m"].try_cast("int"), F.lit(0)).alias("m"), F.lower(F.replace(t["half"], F.lit("."), F.lit(""))).alias("half")))
+    return F.transform(told, lambda t: _clock(t["h"], t["m"], t["half"]))
+
+
 def parse_hours(raw: Column) -> Column:
     """``array<struct<day, open, close, note>>``, an entry for each day that a clause with two times names.
 
     Clauses are cut at commas and semicolons; the first two times open and close; what follows them, if longer than
     three characters, is the note. A range of days names its two ends only. Null where nothing can be read.
     """
-    clauses = F.filter(F.transform(F.split(raw, r"[,;]\s*"), F.trim), lambda x: x != "")
+    clauses = F.filter(F.transform(F.split(raw, r"[,;]\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
     def day_of(word: Column) -> Column:
-        return F.coalesce(*[F.when(F.lower(word).isin(d, name), F.lit(d)) for d, name in NAMES.items()])
+        return F.coalesce(*[F.when(word.isin(d, name), F.lit(d)) for d, name in NAMES.items()])
 
     def read(part: Column) -> Column:
         return F.struct(
-            F.filter(F.transform(F.regexp_extract_all(part, F.lit("([a-zA-Z]+)"), F.lit(1)), day_of), lambda d: d.isNotNull()).alias("days"),
-            F.transform(F.regexp_extract_all(part, F.lit(_TIME), F.lit(0)), clock).alias("times"),
-            F.regexp_replace(F.regexp_extract(part, rf"{_TIME}.*?{_TIME}(.*)$", 7), r"^[;:,\- ]+", "").alias("rest"),
+            F.filter(F.transform(F.transform(F.regexp_extract_all(part, F.lit("([a-zA-Z]+)"), F.lit(1)), F.lower), day_of), lambda d: d.isNotNull()).alias("days"),
+            clocks(part).alias("times"),
+            F.trim(F.regexp_replace(F.regexp_extract(part, rf"{_TIME}.*?{_TIME}(.*)$", 7), r"^[;:,\- ]+", "")).alias("rest"),
         )
 
     def entries(x: Column) -> Column:
         open_, close = F.get(x["times"], F.lit(0)), F.get(x["times"], F.lit(1))
-        note = F.when(F.length(F.trim(x["rest"])) > 3, F.trim(x["rest"]))
+        note = F.when(F.length(x["rest"]) > 3, x["rest"])
         days = F.when((F.size(x["times"]) >= 2) & open_.isNotNull() & close.isNotNull(), x["days"]).otherwise(F.array().cast("array<string>"))
         return F.transform(days, lambda d: F.struct(d.alias("day"), open_.alias("open"), close.alias("close"), note.alias("note")))
 
     found = F.flatten(F.transform(F.transform(clauses, read), entries))
-    return F.when(has_items(found), found)
+    return _bound(found, lambda x: F.when(has_items(x), x))
 
 
 def schedule(entries: Column, raw: Column) -> Column:
     """Entries by day, ``map<day, array<struct<start, end, note>>>``, with the text they come from."""
-    def slots(day: Column) -> Column:
-        return F.transform(F.filter(entries, lambda e: e["day"] == day), lambda e: F.struct(e["open"].alias("start"), e["close"].alias("end"), e["note"].alias("note")))
+    def by_day(known: Column) -> Column:
+        def slots(day: Column) -> Column:
+            return F.transform(F.filter(known, lambda e: e["day"] == day), lambda e: F.struct(e["open"].alias("start"), e["close"].alias("end"), e["note"].alias("note")))
 
-    days = F.array_distinct(F.transform(entries, lambda e: e["day"]))
-    return F.struct(raw.alias("raw"), F.coalesce(F.contains(F.lower(raw), F.lit("appointment")), F.lit(False)).alias("by_appointment"), F.map_from_arrays(days, F.transform(days, slots)).alias("days"))
+        return _bound(F.array_distinct(F.transform(known, lambda e: e["day"])), lambda days: F.map_from_arrays(days, F.transform(days, slots)))
+
+    return F.struct(raw.alias("raw"), F.coalesce(F.contains(F.lower(raw), F.lit("appointment")), F.lit(False)).alias("by_appointment"), _bound(entries, by_day).alias("days"))
 
 
 def open_on(day: str, entries: Column, raw: Column) -> Column:
@@ -80,7 +91,8 @@ def open_on(day: str, entries: Column, raw: Column) -> Column:
     named = F.contains(text, F.lit(day))
     if day in DAYS[:5]:
         named = named | F.contains(text, F.lit("weekday")) | (F.contains(text, F.lit("mon")) & F.contains(text, F.lit("fri")))
-    return F.when(has_items(entries), F.exists(entries, lambda e: e["day"] == day)).when(~has_text(raw), True).otherwise(F.coalesce(named, F.lit(False)))
+    told = _bound(entries, lambda known: F.when(has_items(known), F.exists(known, lambda e: e["day"] == day)))
+    return F.coalesce(told, ~has_text(raw) | F.coalesce(named, F.lit(False)))
 
 
 def _on(day: str):
@@ -94,31 +106,36 @@ def open_status(entries: Column, raw: Column, weekday: Column, now: Column) -> C
     stands first; else the first slot of the next day with any; unknown without hours.
     """
     days = F.array(*[F.lit(d) for d in DAYS])
-    slots = F.filter(entries, lambda e: e["day"] == F.get(days, weekday))
-    first = F.get(F.filter(slots, lambda e: (minutes(e["open"]) > now) | (minutes(e["close"]) > now)), F.lit(0))
-    ahead = F.filter(F.sequence(F.lit(1), F.lit(7)), lambda k: F.exists(entries, lambda e: e["day"] == F.get(days, (weekday + k) % 7)))
-    step = F.get(ahead, F.lit(0))
-    next_day = F.get(days, (weekday + step) % 7)
-    next_slot = F.get(F.filter(entries, lambda e: e["day"] == next_day), F.lit(0))
-    around = F.lit(True)
-    for d in DAYS:
-        one = F.get(F.filter(entries, _on(d)), F.lit(0))
-        around = around & F.coalesce((one["open"] == "00:00") & one["close"].isin("23:59", "24:00"), F.lit(False))
-    opening = first.isNotNull() & (minutes(first["open"]) > now)
     full = F.create_map(*[F.lit(x) for d, n in NAMES.items() for x in (d, n.capitalize())])
     appointment = F.coalesce(F.contains(F.lower(raw), F.lit("appointment")), F.lit(False))
-    state = (
-        F.when(~has_items(entries), "unknown").when(around, "open").when(opening, "opens_today").when(first.isNotNull(), "open").when(step.isNotNull(), "opens_this_week").otherwise("closed_long")
-    )
-    label = (
-        F.when(~has_items(entries), F.when(appointment, "By appointment, call ahead").otherwise("Call for hours"))
-        .when(around, "Open 24/7")
-        .when(opening, F.concat(F.lit("Opens today at "), twelve_hour(first["open"]), F.when(first["note"].isNotNull(), F.concat(F.lit(" - "), first["note"])).otherwise("")))
-        .when(first.isNotNull(), F.concat(F.lit("Open now - closes "), twelve_hour(first["close"])))
-        .when(step.isNotNull(), F.concat(F.when(step == 1, "Tomorrow").otherwise(F.element_at(full, next_day)), F.lit(" "), twelve_hour(next_slot["open"])))
-        .otherwise("Call for hours")
-    )
-    return F.struct(state.alias("state"), label.alias("label"))
+
+    def found(entries: Column) -> Column:
+        slots = F.filter(entries, lambda e: e["day"] == F.get(days, weekday))
+        first = F.get(F.filter(slots, lambda e: (minutes(e["open"]) > now) | (minutes(e["close"]) > now)), F.lit(0))
+        ahead = F.filter(F.sequence(F.lit(1), F.lit(7)), lambda k: F.exists(entries, lambda e: e["day"] == F.get(days, (weekday + k) % 7)))
+        around = F.lit(True)
+        for d in DAYS:
+            one = F.get(F.filter(entries, _on(d)), F.lit(0))
+            around = around & F.coalesce((one["open"] == "00:00") & one["close"].isin("23:59", "24:00"), F.lit(False))
+        return F.struct(entries.alias("entries"), has_items(entries).alias("known"), around.alias("around"), first.alias("first"), F.get(ahead, F.lit(0)).alias("step"))
+
+    def told(x: Column) -> Column:
+        first, step = x["first"], x["step"]
+        opening = first.isNotNull() & (minutes(first["open"]) > now)
+        next_day = F.get(days, (weekday + step) % 7)
+        next_slot = F.get(F.filter(x["entries"], lambda e: e["day"] == next_day), F.lit(0))
+        state = F.when(~x["known"], "unknown").when(x["around"], "open").when(opening, "opens_today").when(first.isNotNull(), "open").when(step.isNotNull(), "opens_this_week").otherwise("closed_long")
+        label = (
+            F.when(~x["known"], F.when(appointment, "By appointment, call ahead").otherwise("Call for hours"))
+            .when(x["around"], "Open 24/7")
+            .when(opening, F.concat(F.lit("Opens today at "), twelve_hour(first["open"]), F.when(first["note"].isNotNull(), F.concat(F.lit(" - "), first["note"])).otherwise("")))
+            .when(first.isNotNull(), F.concat(F.lit("Open now - closes "), twelve_hour(first["close"])))
+            .when(step.isNotNull(), F.concat(F.when(step == 1, "Tomorrow").otherwise(F.element_at(full, next_day)), F.lit(" "), twelve_hour(next_slot["open"])))
+            .otherwise("Call for hours")
+        )
+        return F.struct(state.alias("state"), label.alias("label"))
+
+    return _bound(_bound(entries, found), told)
 
 
 def reachable_hours(has_metro: Column) -> Column:

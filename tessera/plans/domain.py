@@ -5,7 +5,7 @@ Each entity is a list of (name, expression); the expressions are valid in Spark
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hours
@@ -104,15 +104,25 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
             "requirements": flags_to_tags({"is_walk_in": "walk_in", "is_appointment": "appointment_required", "is_no_id": "no_id_required", "is_photo_id": "photo_id", "is_proof": "proof_of_address", "is_income": "income_verification"}),
             "languages": F.array_compact(F.array(F.lit("en"), F.when(F.col("speaks_es"), "es"), F.when(F.col("speaks_am"), "am"), F.when(F.col("speaks_fr"), "fr"))),
             "services": F.array("main_service"),
-            "entries": hours.parse_hours(F.col("hours")),
             "has_hours": F.coalesce(F.length("hours") > 0, F.lit(False)),
         }
     )
 
 
+def by_hours(rows: DataFrame, *columns: Column) -> DataFrame:
+    """``rows`` with columns that follow from ``hours`` and its ``entries`` alone, worked out once for each text that occurs.
+
+    The text that is parsed is an aggregate's, not the key itself: filters on what follows from a key are moved to every row.
+    """
+    texts = rows.groupBy(F.col("hours").alias("__hours")).agg(F.min("hours").alias("hours"))
+    told = texts.withColumn("entries", hours.parse_hours(F.col("hours"))).select("__hours", *columns)
+    return rows.join(told, F.col("hours").eqNullSafe(F.col("__hours"))).drop("__hours")
+
+
 def with_status(rows: DataFrame) -> DataFrame:
     status = hours.open_status(F.col("entries"), F.col("hours"), F.lit(WEEKDAY), F.lit(MINUTE))
-    return rows.withColumn("__status", status).withColumns({"state": F.col("__status.state"), "state_label": F.col("__status.label")}).drop("__status")
+    rows = by_hours(rows, status.alias("__status"))
+    return rows.withColumns({"state": F.col("__status.state"), "state_label": F.col("__status.label")}).drop("__status")
 
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geo, hours, text
 from tessera.operators import equity, ranking
 from tessera.plans.catalogue import query
-from tessera.plans.domain import AT_LAT, AT_LON, HAVERSINE, STATE, WITH, places, with_status
+from tessera.plans.domain import AT_LAT, AT_LON, HAVERSINE, STATE, WITH, by_hours, places, with_status
 
 _D = HAVERSINE.format(a_lat=f"{AT_LAT}e0", a_lon=f"({AT_LON}e0)", b_lat="place_lat", b_lon="place_lon")
 _TRUST = "least(100, 80 + CASE WHEN n_sources >= 3 THEN 15 WHEN n_sources >= 2 THEN 10 ELSE 0 END + CASE WHEN length(hours) > 0 THEN 5 ELSE 0 END + CASE WHEN length(phone) > 0 AND length(website) > 0 THEN 5 ELSE 0 END)"
@@ -96,14 +96,15 @@ _HOURS = """SELECT place, unnest(CASE place % 6 WHEN 1 THEN ['mon 09:00 17:00']
 
 @query(WITH + _HOURS)
 def hours_parse(spark, sf_dir):
-    one = F.explode("entries").alias("e")
-    return places(spark, sf_dir).select("place", one).select("place", F.concat_ws(" ", "e.day", "e.open", "e.close", "e.note").alias("entry"))
+    rows = by_hours(places(spark, sf_dir).select("place", "hours"), F.explode("entries").alias("e"))
+    return rows.select("place", F.concat_ws(" ", "e.day", "e.open", "e.close", "e.note").alias("entry"))
 
 
 @query(WITH + "SELECT place, unnest(CASE place % 6 WHEN 1 THEN ['mon'] WHEN 2 THEN ['mon', 'wed'] WHEN 3 THEN ['sat'] WHEN 5 THEN ['tue', 'thu'] ELSE [] END) AS day, 1 AS n_slots FROM place")
 def weekly_schedule(spark, sf_dir):
-    rows = places(spark, sf_dir).where("entries IS NOT NULL").withColumn("week", hours.schedule(F.col("entries"), F.col("hours")))
-    return rows.select("place", F.explode("week.days").alias("day", "slots")).select("place", "day", F.size("slots").alias("n_slots"))
+    week = hours.schedule(F.col("entries"), F.col("hours"))
+    rows = by_hours(places(spark, sf_dir).select("place", "hours"), F.explode(week["days"]).alias("day", "slots"))
+    return rows.select("place", "day", F.size("slots").alias("n_slots"))
 
 
 @query(_SCORED + "SELECT place FROM factors WHERE state = 'open' AND speaks_es AND (is_no_id OR NOT is_photo_id)")

@@ -8,7 +8,7 @@ from tessera.functions import geo, hours
 from tessera.operators import equity, spatial
 from tessera.operators.ranking import cursor
 from tessera.plans.catalogue import query
-from tessera.plans.domain import HAVERSINE, WITH, areas, places, stations
+from tessera.plans.domain import HAVERSINE, WITH, areas, by_hours, places, stations
 
 _NEAR = WITH + f"""
 , near AS (SELECT a.area, p.*, {HAVERSINE.format(a_lat='p.place_lat', a_lon='p.place_lon', b_lat='a.lat', b_lon='a.lon')} AS distance_m FROM place p, area a
@@ -58,7 +58,7 @@ def _access(spark, sf_dir):
     rows = places(spark, sf_dir).drop("area")
     names = {"en": "English", "es": "Spanish", "am": "Amharic", "fr": "French"}
     spoken = F.transform("languages", lambda x: F.element_at(F.create_map(*[F.lit(v) for p in names.items() for v in p]), x))
-    rows = rows.withColumns({f"open_{d}": hours.open_on(d, F.col("entries"), F.col("hours")) for d in hours.DAYS}).withColumn("languages", spoken)
+    rows = by_hours(rows.withColumn("languages", spoken), *[hours.open_on(d, F.col("entries"), F.col("hours")).alias(f"open_{d}") for d in hours.DAYS])
     return equity.access(areas(spark, sf_dir), rows)
 
 

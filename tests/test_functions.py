@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geo, hours, text
+from tessera.plans import catalogue
 from tessera.operators import equity, metrics, ranking, resolution
 
 
@@ -56,6 +57,20 @@ def test_parse_hours(spark, raw, found):
     assert (got and [tuple(e) for e in got]) == found
 
 
+@pytest.mark.parametrize(("raw", "found"), [("Mon 9:30-17:30", [("mon", "09:30", "17:30", None)]), ("Mon 10-20, Tue 11-21", [("mon", "10:00", "20:00", None), ("tue", "11:00", "21:00", None)])])
+def test_parse_hours_to_the_last_digit(spark, raw, found):
+    assert [tuple(e) for e in one(spark, hours.parse_hours(F.col("x")), row=(raw,))] == found
+
+
+@pytest.mark.parametrize("name", ["facet_filter", "hours_parse", "trending_top4", "weekly_schedule", "access_by_day"])
+def test_hours_are_read_once_for_each_text(spark, name):
+    """Above the distinct texts, and at few places: a column that is used often or filtered by would be worked out again each time."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    texts = next(k for k, line in enumerate(plan) if "Aggregate" in line and "min(hours" in line)
+    assert sum(line.count("regexp_extract_all") for line in plan[: texts + 1]) in range(1, 17)
+    assert not any("regexp_extract_all" in line for line in plan[texts + 1 :])
+
+
 @pytest.mark.parametrize(
     ("raw", "weekday", "minute", "state", "label"),
     [
