@@ -142,7 +142,7 @@ def pairs(records: DataFrame, threshold: float = 80.0, name_threshold: float = 9
     name, once it is clean, match nothing. Likeness is a matter of names with their words sorted, so it is found once for
     two different ones of a zip, or of a zip and street number, and then joined to the records that have them.
     """
-    keyed = _safe(_keyed(records)) if fuzzy else _keyed(records)
+    keyed = _safe(_keyed(records))
     both = keyed.alias("l").join(keyed.alias("r"), ["zip", "name"]).where("l.ord < r.ord")
     exact = both.where(~(F.col("l.timed") & F.col("r.timed") & F.col("l.source").eqNullSafe(F.col("r.source")))).select(F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), F.lit("name").alias("rule"))
     if not fuzzy:
