@@ -200,6 +200,24 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
+def bitmap(values: np.ndarray) -> bytes:
+    """A bit for each of the numbers, at its remainder by the length: a power of two, at least twice as many as there are."""
+    size = max(64, 1 << (2 * len(values) - 1).bit_length()) if len(values) else 64
+    bits = np.zeros(size, np.uint8)
+    bits[(values % np.uint64(size)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def can_be_alike(a: bytes, n_a: int, b: bytes, n_b: int, similarity: float) -> bool:
+    """Whether sets of these bitmaps and sizes can be alike: a bit that only one has stands for a number that only one has."""
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * max(len(a), len(b))
+    while size > 8 * min(len(a), len(b)):  # the longer one folded, which is what the shorter length would have given
+        size //= 2
+        x, y = (z >> size | z & ((1 << size) - 1) for z in (x, y))
+    both = min(n_a - (x & ~y).bit_count(), n_b - (y & ~x).bit_count())
+    return both >= similarity * (n_a + n_b - both) - 1e-6
+
+
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(SLOTS)).astype(np.int64)
 
@@ -247,7 +265,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     of about ``SHARD`` documents. So no pair is lost, and no task holds a whole crowd.
 
     Shingles are 64-bit hashes throughout. Their first ones are written once, and whole sets never: those of nodes in a
-    pair are made again from the text. What moves is the first shingles, pairs, and the sets of nodes in a pair.
+    pair are made again from the text, if bitmaps of the two sets leave it open that they are alike (``can_be_alike``).
+    What moves is the first shingles, pairs with bitmaps, and the sets of the few pairs that these leave.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -260,8 +279,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
             found = [_set(t, width, seed) for t in column(batch, "text").to_pylist()]
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
             size = np.array([len(x) for x in found], np.int32)
+            bits = pa.array([bitmap(x) for x in found], pa.binary())
             found = [x[np.argsort(often[_slot(x)], kind="stable")[: prefix(len(x), similarity)]] for x in found]
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(node), pa.array(size), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "node", "n", "first"])
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(node), pa.array(size), bits, pa.array([x.tobytes() for x in found], pa.binary())], ["key", "node", "n", "bits", "first"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "first", SLICE):
@@ -302,29 +322,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
             arrays = [pa.array(x.astype(t)) for x, t in zip((token[keep], pos[keep], n[keep], node[keep], pos[at], n[at], node[at]), (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, np.int64), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["token", "pos", "n", "node", "head_pos", "head_n", "head"])
 
+    def keep_possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(*(column(batch, c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b")), strict=True)
+            yield batch.filter(pa.array([can_be_alike(*row, similarity) for row in each], pa.bool_())).select(["a", "b"])
+
     def keep_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = ([_unpacked(s) for s in column(batch, c).to_pylist()] for c in ("set_a", "set_b"))
             yield batch.filter(pa.array([_alike(p, q, similarity) for p, q in zip(x, y, strict=True)], pa.bool_())).select(["a", "b"])
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """``node, set`` of the distinct nodes given, made again from the text of one document of each.
-
-        The others' texts stay where they are if the nodes are few enough to tell.
-        """
-        nodes = staged(nodes)
+    def one_of(nodes: DataFrame, until: list[tuple[str, DataFrame]]) -> DataFrame:
+        """``node, key, n, bits`` of one document for each of the distinct nodes given."""
+        nodes = staged(nodes, until)
         small = nodes.count() <= BROADCAST
-        one = every.select("node", "key").join(F.broadcast(nodes) if small else nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-        one = staged(one)
+        one = every.select("node", F.struct("key", "n", "bits").alias("one")).join(F.broadcast(nodes) if small else nodes, "node", "left_semi").groupBy("node").agg(F.min("one").alias("one"))
+        return staged(one.select("node", "one.*"), until)
+
+    def sets_of(one: DataFrame) -> DataFrame:
+        """``node, set``, made again from the text of the documents ``node, key``; the others' texts stay where they are if these are few enough to tell."""
+        small = one.count() <= BROADCAST
         return rows.join(F.broadcast(one) if small else one, "key").select("node", "text").mapInArrow(again, "node long, set binary")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs ``a, b``, in which many may have one ``b``, those that are alike."""
-        pairs = staged(pairs.distinct())
-        asking = sets_of(pairs.select(F.col("a").alias("node")).distinct()).withColumnsRenamed({"node": "a", "set": "set_a"})
-        asked = staged(sets_of(pairs.select(F.col("b").alias("node")).distinct())).withColumnsRenamed({"node": "b", "set": "set_b"})
+        until: list[tuple[str, DataFrame]] = []
+        pairs = staged(pairs.distinct(), until)
+        one = one_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), until)
+        asking, asked = (one.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+        pairs = staged(pairs.join(asking, "a").join(asked, "b").mapInArrow(keep_possible, "a long, b long"), until)
+        released(docs.sparkSession)
+        asking, asked = (sets_of(staged(one.join(pairs.select(F.col(x).alias("node")), "node", "left_semi").select("node", "key"), until)).withColumnsRenamed({"node": x, "set": f"set_{x}"}) for x in "ab")
         pairs = pairs.join(asking, "a").join(asked, "b")
-        return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(keep_alike, "a long, b long"))
+        alike = cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(keep_alike, "a long, b long"))
+        emptied(until)
+        return alike
 
     def meet(group: pa.Table) -> pa.Table:
         """A link of every one that asks to one of the members in this part, if any is alike."""
@@ -348,7 +380,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     early: list[tuple[str, DataFrame]] = []
     middle: list[tuple[str, DataFrame]] = []
     late: list[tuple[str, DataFrame]] = []
-    every = staged(rows.mapInArrow(sets, f"key {kind}, node long, n int, first binary"), late)
+    every = staged(rows.mapInArrow(sets, f"key {kind}, node long, n int, bits binary, first binary"), late)
     keys = every.select("node", "n", "first").mapInArrow(prefixes, "token long, pos int, n int, node long, hot boolean")
     hot = staged(keys.where("hot").drop("hot").distinct(), early)
     heads = hot.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("one"), F.count("*").alias("nodes")).where("nodes > 1")
@@ -368,7 +400,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     left = staged(now.join(several, "token"), late)
     released(docs.sparkSession)
     if not left.isEmpty():
-        found += _rest(left, label, sets_of, least, verified, meet)
+        found += _rest(left, label, lambda nodes: sets_of(one_of(nodes, late).select("node", "key")), least, verified, meet)
         label = cut(components(reduce(DataFrame.union, found)))
     of = every.select("key", "node").join(label, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     named = of.groupBy("component").agg(F.min("key").alias("component_id"))

@@ -218,6 +218,35 @@ def test_a_shared_passage_makes_no_crowd(spark, monkeypatch):
     assert dict(map(tuple, got.collect())) == {k: k for k in texts} and max(largest) <= 40
 
 
+def test_bitmaps_lose_no_pair():
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 5, 60, 700):
+        for share in (0.0, 0.5, 0.75, 0.85, 1.0):
+            a = rng.integers(0, 2**64, n, np.uint64)
+            b = np.unique(np.concatenate([a[: int(share * n)], rng.integers(0, 2**64, int((1 - share) * n) + n // 9, np.uint64)]))
+            a = np.unique(a)
+            open_ = simhash.can_be_alike(simhash.bitmap(a), len(a), simhash.bitmap(b), len(b), 0.8)
+            assert open_ or not simhash._alike(a, b, 0.8)
+            assert open_ == simhash.can_be_alike(simhash.bitmap(b), len(b), simhash.bitmap(a), len(a), 0.8)
+            assert not open_ or share > 0.5 or n < 60
+
+
+def test_sets_of_texts_that_only_share_a_passage_are_not_moved(spark):
+    """What is shuffled for pairs that can't be alike is less than one set for each text, and each text is in several pairs."""
+    rng = np.random.default_rng(12)
+    passages = [prose(rng, 250) for _ in range(20)]
+    texts = {k: " ".join(passages[k % 20] + prose(rng, 40) + passages[(k + 1 + k // 20) % 20]) for k in range(180)}
+    docs, store = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.sparkContext._jsc.sc().statusStore()
+    before, joins = store.executorList(True).apply(0).totalShuffleWrite(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert dict(map(tuple, simhash.near_duplicates(docs).collect())) == {k: k for k in texts}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    first = sum(24 * simhash.prefix(len(set(shingles(t, 5))), 0.8) for t in texts.values())
+    assert store.executorList(True).apply(0).totalShuffleWrite() - before < 3 * first + 180 * 536 * 8
+
+
 def test_odd_duplicates(odd, empty):
     assert simhash.classes(odd).count() == odd.count() and simhash.classes(empty).count() == 0
     kept = simhash.keep_one(odd)
