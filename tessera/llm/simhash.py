@@ -7,9 +7,10 @@ with a BK-tree of its own: children are keyed by their Hamming distance to the p
 within the radius. The trees stay in the task that holds the bucket; broadcasting them, as on a small corpus, would
 send every executor something as large as the corpus. A bucket tells a spanning forest of its links, never all pairs.
 
-``near_duplicates`` finds documents whose word shingles are alike. There the fingerprints of alike documents differ in
-more bits than blocks can be made for, so it needs no fingerprints: documents that share one of their rarest shingles
-meet, and the shingle sets decide.
+``near_duplicates`` finds documents whose word shingles are alike. Fingerprints of the shingle sets go through the same
+trees first, and the sets decide on the links that these tell. Many alike documents differ in more bits than blocks can
+be made for; so that none of these links is lost, documents that share one of their rarest shingles meet after that,
+unless the trees' links have already joined them, and the sets decide again.
 
 Defined results: null and empty texts have no words and fingerprint 0 (one group in ``near_duplicates``). Repeated rows
 share a fingerprint. Null ids are never a group's id unless all ids of the group are null. Empty tables give no rows.
@@ -255,14 +256,16 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, component_id``: documents linked, over any number of steps, by shingle sets of at least ``similarity``.
 
-    Ids must be distinct. Documents with equal sets are one node, named by a 64-bit hash of the set. All sets are put in
-    one order, rare shingles first; two that are alike share one of the first shingles of each (``prefix``), and of the
-    first that they share, so many stand at or after it in both sets as they must have in common (``_may_meet``). First,
-    the nodes that have a shingle are held against the one in which the fewest rarer shingles stand before it: a text has
-    none of what its edited copies add, so that is where they come from. What is found alike is joined to components; a
-    shingle whose nodes are in one component is done. What is left is compared in full: for every two components that may
-    meet at a shingle, those of the smaller one that have it meet every member of the larger, pair by pair or in parts
-    of about ``SHARD`` documents. So no pair is lost, and no task holds a whole crowd.
+    Ids must be distinct. Documents with equal sets are one node, named by a 64-bit hash of the set. All sets are put
+    in one order, rare shingles first. Nodes whose fingerprints (of the distinct shingles) BK-trees link are held
+    against each other first (``links``), and so are nodes of one fingerprint. For what trees can't tell, two that are
+    alike share one of the first shingles of each (``prefix``), and of the first that they share, so many stand at or
+    after it in both sets as they must have in common (``_may_meet``). So the nodes that have a shingle are held next
+    against the one in which the fewest rarer shingles stand before it: a text has none of what its edited copies add,
+    so that is where they come from. What is found alike is joined to components; a shingle whose nodes are in one
+    component is done. What is left is compared in full: for every two components that may meet at a shingle, those of
+    the smaller one that have it meet every member of the larger, pair by pair or in parts of about ``SHARD``
+    documents. So no pair is lost, and no task holds a whole crowd.
 
     Shingles are 64-bit hashes throughout. Their first ones are written once, and whole sets never: those of nodes in a
     pair are made again from the text, if bitmaps of the two sets leave it open that they are alike (``can_be_alike``).
@@ -279,9 +282,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
             found = [_set(t, width, seed) for t in column(batch, "text").to_pylist()]
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
             size = np.array([len(x) for x in found], np.int32)
-            bits = pa.array([bitmap(x) for x in found], pa.binary())
+            bits, prints = pa.array([bitmap(x) for x in found], pa.binary()), majority(np.concatenate(found), size.astype(np.int64))
             found = [x[np.argsort(often[_slot(x)], kind="stable")[: prefix(len(x), similarity)]] for x in found]
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(node), pa.array(size), bits, pa.array([x.tobytes() for x in found], pa.binary())], ["key", "node", "n", "bits", "first"])
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(node), pa.array(size), pa.array(prints), bits, pa.array([x.tobytes() for x in found], pa.binary())], ["key", "node", "n", "fingerprint", "bits", "first"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "first", SLICE):
@@ -380,7 +383,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     early: list[tuple[str, DataFrame]] = []
     middle: list[tuple[str, DataFrame]] = []
     late: list[tuple[str, DataFrame]] = []
-    every = staged(rows.mapInArrow(sets, f"key {kind}, node long, n int, bits binary, first binary"), late)
+    every = staged(rows.mapInArrow(sets, f"key {kind}, node long, n int, fingerprint long, bits binary, first binary"), late)
+    found = [verified(_by_trees(every))]
+    label = cut(components(found[0]))
+    released(docs.sparkSession)
     keys = every.select("node", "n", "first").mapInArrow(prefixes, "token long, pos int, n int, node long, hot boolean")
     hot = staged(keys.where("hot").drop("hot").distinct(), early)
     heads = hot.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("one"), F.count("*").alias("nodes")).where("nodes > 1")
@@ -391,8 +397,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     emptied(early)
     least = similarity / (1 + similarity)
     near = keyed.where("node != head").where(_may_meet(F.col("pos"), F.col("n"), F.col("head_pos"), F.col("head_n"), least))
-    found = [verified(near.select(F.col("node").alias("a"), F.col("head").alias("b")))]
-    label = cut(components(found[0]))
+    near = near.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    of_a, of_b = (label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    near = near.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    found.append(verified(near))
+    label = cut(components(reduce(DataFrame.union, found)))
     released(docs.sparkSession)
     now = staged(keyed.select("token", "pos", "n", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), late)
     emptied(middle)
@@ -409,6 +418,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     return result
 
 
+def _by_trees(every: DataFrame) -> DataFrame:
+    """Pairs of nodes ``a, b`` that the trees link by their fingerprints: one node stands for all of a fingerprint, and is linked to them."""
+    nodes = staged(every.select("node", "fingerprint").distinct())
+    prints = staged(nodes.groupBy("fingerprint").agg(F.min("node").alias("one")))
+    same = nodes.join(prints, "fingerprint").where("node != one").select(F.col("node").alias("a"), F.col("one").alias("b"))
+    ends = [prints.select(F.col("fingerprint").alias(x), F.col("one").alias(f"one_{x}")) for x in "ab"]
+    near = links(prints.select("fingerprint")).join(ends[0], "a").join(ends[1], "b")
+    return near.select(F.col("one_a").alias("a"), F.col("one_b").alias("b")).union(same)
+
+
 def _may_meet(pos: Column, n: Column, other_pos: Column, other_n: Column, least: float) -> Column:
     """Whether two sets whose first shared shingle stands at these places can have ``least`` of their sizes in common."""
     return F.least(n - pos, other_n - other_pos) >= F.lit(least) * (n + other_n) - F.lit(1e-6)

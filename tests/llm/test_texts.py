@@ -247,6 +247,26 @@ def test_sets_of_texts_that_only_share_a_passage_are_not_moved(spark):
     assert store.executorList(True).apply(0).totalShuffleWrite() - before < 3 * first + 180 * 536 * 8
 
 
+def test_near_duplicates_go_through_the_trees(spark, monkeypatch):
+    """Copies with a word changed are told by the trees' links; versions that differ more are found after them."""
+    told, plain = [], simhash.links
+
+    def seen(distinct, *args):
+        told.append((distinct.columns, {r["fingerprint"] for r in distinct.collect()}, [tuple(r) for r in plain(distinct, *args).collect()]))
+        return plain(distinct, *args)
+
+    monkeypatch.setattr(simhash, "links", seen)
+    rng, texts = np.random.default_rng(13), {}
+    for k in range(10):
+        base = prose(rng, 400)
+        texts |= {3 * k: " ".join(base), 3 * k + 1: " ".join([*base[:-1], "changed"]), 3 * k + 2: " ".join(changed(rng, base, 7))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(range(0, 30, 3))
+    (columns, prints, found), = told
+    assert columns == ["fingerprint"] and len(found) >= 5
+    assert all(a in prints and b in prints and ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= 3 for a, b in found)
+
+
 def test_odd_duplicates(odd, empty):
     assert simhash.classes(odd).count() == odd.count() and simhash.classes(empty).count() == 0
     kept = simhash.keep_one(odd)
