@@ -124,12 +124,13 @@ def train(texts: list[str], labels: list[str], seed: int = 2) -> Model:
         for k in range(0, max(1, len(raw)), LESSON):
             parts.append(raw[k : k + LESSON]), target.append(languages.index(label))
     buckets, counts = [], []
-    for k in range(0, len(parts), 1000):  # a few at a time: the features take many times the room of the text
-        some = parts[k : k + 1000]
+    for k in range(0, len(parts), 200):  # a few at a time: the features take many times the room of the text
+        some = parts[k : k + 200]
         bucket, text = _features(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in some])]).astype(np.int64))
         buckets.append(bucket[np.argsort(text, kind="stable")].astype(np.uint16))
         counts.append(np.bincount(text, minlength=len(some)))
     bucket, counts = np.concatenate(buckets), np.concatenate(counts)
+    del buckets
     starts = np.cumsum(counts) - counts
     target = np.array(target)
     k = len(languages)
@@ -159,8 +160,11 @@ def train(texts: list[str], labels: list[str], seed: int = 2) -> Model:
     model = Model(languages, embedding @ layer, bias, np.log(share / share.sum(axis=0)).astype(np.float32))
     if whole:
         of = np.array([languages.index(label) for label, _ in whole])
-        ends = np.concatenate([[0], np.cumsum([len(raw) for _, raw in whole])]).astype(np.int64)
-        odds, near, count = model.scores(np.frombuffer(b"".join(raw for _, raw in whole), np.uint8), ends)
+        found = []
+        for begin in range(0, len(whole), 50):
+            some = [raw for _, raw in whole[begin : begin + 50]]
+            found.append(model.scores(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(raw) for raw in some])]).astype(np.int64)))
+        odds, near, count = (np.concatenate(x) for x in zip(*found, strict=True))
         logits, some = np.log(odds + 1e-300), count > 0
         heat = np.geomspace(0.02, 20, 70)
         loss = [-np.mean(np.log(softmax(logits / t)[np.arange(len(of)), of][some] + 1e-12)) for t in heat] if some.any() else [0.0]

@@ -158,6 +158,7 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         fit = F.lit(True) if last else F.col("count") <= CROWD
         few = rows.join(sizes.where((F.col("count") > 1) & fit).drop("count"), ["mask", "bits"])
         edges = few.groupBy("mask", "bits").agg(F.sort_array(F.collect_set("fingerprint")).alias("values")).select("values").mapInArrow(trees, "a long, b long")
+        edges = cut(edges)  # each level by itself: one plan of all levels and what follows is long, and the driver keeps it
         found = edges if found is None else found.union(edges)
         if last:
             return found
@@ -235,9 +236,9 @@ def _frequencies(docs: DataFrame, n: int, width: int, seed: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
 
     wanted = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * min(1, SAMPLE / max(n, 1)))
-    found = docs.where(wanted).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    found = docs.where(wanted).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     out = np.zeros(SLOTS, np.uint32)
-    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -384,8 +385,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     middle: list[tuple[str, DataFrame]] = []
     late: list[tuple[str, DataFrame]] = []
     every = staged(rows.mapInArrow(sets, f"key {kind}, node long, n int, fingerprint long, bits binary, first binary"), late)
-    found = [verified(_by_trees(every))]
-    label = cut(components(found[0]))
+    label = components(verified(_by_trees(every)))
     released(docs.sparkSession)
     keys = every.select("node", "n", "first").mapInArrow(prefixes, "token long, pos int, n int, node long, hot boolean")
     hot = staged(keys.where("hot").drop("hot").distinct(), early)
@@ -400,8 +400,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     near = near.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     of_a, of_b = (label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
     near = near.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    found.append(verified(near))
-    label = cut(components(reduce(DataFrame.union, found)))
+    label = components(_stars(label).union(verified(near)))
     released(docs.sparkSession)
     now = staged(keyed.select("token", "pos", "n", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), late)
     emptied(middle)
@@ -409,8 +408,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     left = staged(now.join(several, "token"), late)
     released(docs.sparkSession)
     if not left.isEmpty():
-        found += _rest(left, label, lambda nodes: sets_of(one_of(nodes, late).select("node", "key")), least, verified, meet)
-        label = cut(components(reduce(DataFrame.union, found)))
+        found = _rest(left, label, lambda nodes: sets_of(one_of(nodes, late).select("node", "key")), least, verified, meet)
+        label = components(reduce(DataFrame.union, found, _stars(label)))
     of = every.select("key", "node").join(label, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     named = of.groupBy("component").agg(F.min("key").alias("component_id"))
     result = staged(of.join(staged(named), "component").select(F.col("key").alias(id_col), "component_id"))
@@ -418,6 +417,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, se
     return result
 
 
+def _stars(label: DataFrame) -> DataFrame:
+    """What is joined already, as a link ``a, b`` of every node to its component: fewer rounds than all links again."""
+    return label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _by_trees(every: DataFrame) -> DataFrame:
     """Pairs of nodes ``a, b`` that the trees link by their fingerprints: one node stands for all of a fingerprint, and is linked to them."""
     nodes = staged(every.select("node", "fingerprint").distinct())

@@ -88,6 +88,29 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_leave_few_records(spark):
+    """The driver keeps a record of every task, so rounds over few links have few, and stars are known at the first look."""
+    context, held = spark.sparkContext, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    links = spark.createDataFrame([(k + 1, k) for k in range(100, 140)] + [(1, k) for k in range(2, 30)], "a long, b long").repartition(64)
+    before = {key: spark.conf.get(key, None) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
+    try:
+        context.setJobGroup("components", "components")
+        found = components.components(links)
+        jobs = context.statusTracker().getJobIdsForGroup("components")
+        tasks = sum(context.statusTracker().getStageInfo(s).numTasks for j in jobs for s in context.statusTracker().getJobInfo(j).stageIds[-1:])
+        context.setJobGroup("stars", "stars")
+        again = components.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        stars = context.statusTracker().getJobIdsForGroup("stars")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect())) == [(k, 1) for k in range(1, 30)] + [(k, 100) for k in range(100, 141)]
+    assert tasks < 4000 and len(stars) < 10  # 7437 tasks and 18 jobs when every round had all partitions and only a round more told the end
+
+
 def test_bk_tree():
     rng = np.random.default_rng(5)
     values = [int(x) for x in rng.integers(0, 2**16, 300)]
